@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 def _valid(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and float32 rows of the vectors that take part."""
     ids, vectors = batch.column(0), batch.column(1)
-    length = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(vectors), 0).to_numpy(zero_copy_only=False))
+    length = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False))
     ok = (length == dim) & ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False))
     if not ok.any():
         return np.empty(0, np.int64), np.empty((0, dim), np.float32)
@@ -74,7 +75,6 @@ def nearest_pairs(
     need(vectors, id_col, vector_col)
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
-    import pyarrow.compute  # noqa: F401  (pa.compute)
 
     # --- the tree over cells, from a bounded sample
     total = base.count()
