@@ -138,13 +138,13 @@ _AUTHOR_WORDS = ("uthor", "ritten by", "aintain", "ontribut", "Contact:", "evelo
 _PHRASES = tuple(
     (words, re.compile(pattern))
     for words, pattern in (
-        (("Dr", "Prof", "Mr", "Ms", "Mx", "Herr", "Frau", "Mme", "Sr", "Monsieur", "Madame", "Señor"), rf"\b(?:Dr|Prof|Mr|Mrs|Ms|Mx|Herr|Frau|Mme|Sra?|Monsieur|Madame|Señora?)\.? ({_NO_COMMA})"),
+        (("Dr. ", "Dr ", "Prof. ", "Prof ", "Mr. ", "Mr ", "Mrs. ", "Mrs ", "Ms. ", "Ms ", "Mx. ", "Mx ", "Herr ", "Frau ", "Mme ", "Sr. ", "Sra. ", "Monsieur ", "Madame ", "Señor"), rf"\b(?:Dr|Prof|Mr|Mrs|Ms|Mx|Herr|Frau|Mme|Sra?|Monsieur|Madame|Señora?)\.? ({_NO_COMMA})"),
         ((" pointed", " said", " wrote", " mentioned", " noted", " explained", " suggested", " showed", " told", " proposed", " remarked"), rf"\b[Aa]s {_TITLE}({_ANY}) (?:already |has |had |just |once )*(?:pointed|said|wrote|mentioned|noted|explained|suggested|showed|told|proposed|remarked)\b"),
-        (("colleague", "boss", "supervisor", "advis", "student ", "friend", "worker", "manager", "assistant", "neighbour"), rf"\b(?:colleague|boss|supervisor|advis[oe]r|student|friend|co-?worker|manager|assistant|neighbour),? {_TITLE}({_ANY})(?= [a-z]|[.;:)]|$)"),
-        (("sk ", "eet ", "hank ", "ing "), rf"\b(?:[Aa]sk|[Mm]eet|[Tt]hank|[Pp]ing) {_TITLE}({_ANY})(?= (?:about|at|on|for|if|when|to|in)\b)"),
-        ((" from ", " by "), rf"\b(?:data|files?|patch|code|results?|script|model|mesh|help|reply|answer|mail|message|note|report|idea|fix|input|measurements?) (?:from|by) {_TITLE}({_FULL})((?: and {_ANY})?)(?= in\b| on\b|[.,;]|$)"),
-        (("name",), rf"\bname(?: is|:)? {_TITLE}({_FULL})(?=[.,;)]|$)"),
-        (("label", "parcel", "envelope", "badge"), rf"\b(?:label|parcel|envelope|badge) (?:must|should|has to|will|may) (?:say|read|name) {_TITLE}({_FULL})(?=[.,;)]|$)"),
+        (("colleague", "boss", "supervisor", "adviser", "advisor", "student ", "friend ", "friend,", "worker ", "manager ", "assistant ", "neighbour"), rf"\b(?:colleague|boss|supervisor|advis[oe]r|student|friend|co-?worker|manager|assistant|neighbour),? {_TITLE}({_ANY})(?= [a-z]|[.;:)]|$)"),
+        (("Ask ", " ask ", "Meet ", " meet ", "Thank ", " thank ", "Ping ", " ping "), rf"\b(?:[Aa]sk|[Mm]eet|[Tt]hank|[Pp]ing) {_TITLE}({_ANY})(?= (?:about|at|on|for|if|when|to|in)\b)"),
+        (tuple(f"{w} {p} " for w in ("data", "file", "files", "patch", "code", "result", "results", "script", "model", "mesh", "help", "reply", "answer", "mail", "message", "note", "report", "idea", "fix", "input", "measurement", "measurements") for p in ("from", "by")), rf"\b(?:data|files?|patch|code|results?|script|model|mesh|help|reply|answer|mail|message|note|report|idea|fix|input|measurements?) (?:from|by) {_TITLE}({_FULL})((?: and {_ANY})?)(?= in\b| on\b|[.,;]|$)"),
+        (("name ", "name: "), rf"\bname(?: is|:)? {_TITLE}({_FULL})(?=[.,;)]|$)"),
+        (("label ", "parcel ", "envelope ", "badge "), rf"\b(?:label|parcel|envelope|badge) (?:must|should|has to|will|may) (?:say|read|name) {_TITLE}({_FULL})(?=[.,;)]|$)"),
         (("Signed", "signed", "attn", "Attn", "c/o", "Attention"), rf"\b(?:[Ss]igned|[Aa]ttn\.?:?|c/o|Attention:?) ?,? {_TITLE}({_FULL})(?=[.,;)]|$)"),
     )
 )
@@ -201,6 +201,46 @@ def _unquote(line: str) -> int:
     return i
 
 
+#: Words of which one must occur for a group of patterns to be tried.
+_GROUPS: tuple[tuple[str, ...], ...] = (
+    _AUTHOR_WORDS, _LABELS, ("[at]", "(at)", " AT ", "{at}", "<at>", "_at_", "(@)", "[@]", "(AT)", "[AT]"), ("DL-",),
+    *(words for words, _ in _ADDRESSES), *(words for words, _ in _PHRASES),
+)
+_AUTHORS, _LABEL, _HIDE, _DL, _FIRST_ADDRESS = 0, 1, 2, 3, 4
+_FIRST_PHRASE = _FIRST_ADDRESS + len(_ADDRESSES)
+
+try:
+    import ahocorasick
+except ImportError:  # the words are then looked for one by one
+    ahocorasick = None
+
+
+def _word_finder():
+    """Function from a text to a bit set of the groups of which a word occurs."""
+    if ahocorasick is None:
+
+        def one_by_one(text: str) -> int:
+            return sum(1 << g for g, words in enumerate(_GROUPS) if any(w in text for w in words))
+
+        return one_by_one
+    bits: dict[str, int] = {}
+    for g, words in enumerate(_GROUPS):
+        for w in words:
+            bits[w] = bits.get(w, 0) | 1 << g
+    automaton = ahocorasick.Automaton()
+    for w, b in bits.items():
+        automaton.add_word(w, b)
+    automaton.make_automaton()
+
+    def at_once(text: str) -> int:
+        found = 0
+        for _, b in automaton.iter(text):
+            found |= b
+        return found
+
+    return at_once
+
+
 class Finder:
     """Finds personal data; built once per Python worker.
 
@@ -209,6 +249,7 @@ class Finder:
     """
 
     def __init__(self, directory: list[str] | None = None):
+        self.groups = _word_finder()
         self.known: dict[str, set[str]] = {}
         for d in directory or ():
             d = " ".join((d or "").split())
@@ -228,16 +269,14 @@ class Finder:
     # -------------------------------------------------------------- parts
 
     @staticmethod
-    def emails(text: str) -> list[tuple[int, int]]:
+    def emails(text: str, groups: int) -> list[tuple[int, int]]:
         out = []
         if "@" in text:
             for m in _EMAIL.finditer(text):
                 if not _PRODUCT.match(m[0]):
                     out.append(m.span())
-        if "[at]" in text or "(at)" in text or " AT " in text or "{at}" in text or "<at>" in text or "_at_" in text or "(@)" in text or "[@]" in text:
-            out += [m.span() for m in _HIDDEN.finditer(text)]
-        elif "(AT)" in text or "[AT]" in text:
-            out += [m.span() for m in _HIDDEN_I.finditer(text)]
+        if groups >> _HIDE & 1:
+            out += [m.span() for m in (_HIDDEN_I if "(AT)" in text or "[AT]" in text else _HIDDEN).finditer(text)]
         return out
 
     @staticmethod
@@ -252,28 +291,29 @@ class Finder:
         return out
 
     @staticmethod
-    def numbers(text: str) -> list[tuple[int, int]]:
+    def numbers(text: str, groups: int) -> list[tuple[int, int]]:
         out = []
         for m in _SSN.finditer(text):
             if not _NOT_SSN.search(text, max(0, m.start() - 24), m.start()):
                 out.append(m.span())
-        if "DL-" in text:
+        if groups >> _DL & 1:
             out += [m.span() for m in _LICENCE.finditer(text)]
-        if any(x in text for x in _LABELS):
+        if groups >> _LABEL & 1:
             for m in _LABELLED.finditer(text):
                 if sum(c.isdigit() for c in m[1]) >= 5:
                     out.append(m.span(1))
         return out
 
     @staticmethod
-    def addresses(text: str) -> list[tuple[int, int]]:
+    def addresses(text: str, groups: int) -> list[tuple[int, int]]:
         out = []
-        for words, pattern in _ADDRESSES:
-            if any(w in text for w in words):
-                out += [m.span() for m in pattern.finditer(text)]
+        if groups >> _FIRST_ADDRESS & (1 << len(_ADDRESSES)) - 1:
+            for g, (_, pattern) in enumerate(_ADDRESSES, _FIRST_ADDRESS):
+                if groups >> g & 1:
+                    out += [m.span() for m in pattern.finditer(text)]
         return out
 
-    def persons(self, text: str, post: bool) -> list[tuple[int, int]]:
+    def persons(self, text: str, post: bool, groups: int) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
 
         def add(start: int, end: int) -> None:
@@ -288,21 +328,20 @@ class Finder:
                 for x in _AND.finditer(m[g]):
                     add(base + m.start(g) + x.start(1), base + m.start(g) + x.end(1))
 
-        for word in _AUTHOR_WORDS:
+        for word in _AUTHOR_WORDS if groups >> _AUTHORS & 1 else ():
             at = text.find(word)
             while at >= 0:
                 if m := _CODE_AUTHOR.match(text, max(0, text.rfind("\n", 0, at) + 1, at - 2)) or _CODE_AUTHOR.search(text, max(0, at - 2), text.find("\n", at) if text.find("\n", at) > 0 else len(text)):
                     add(*m.span(1))
                     more(m, 2)
                 at = text.find(word, at + len(word))
-        for words, pattern in _PHRASES:
-            for w in words:
-                if w in text:
+        if groups >> _FIRST_PHRASE:
+            for g, (_, pattern) in enumerate(_PHRASES, _FIRST_PHRASE):
+                if groups >> g & 1:
                     for m in pattern.finditer(text):
                         add(*m.span(1))
                         if pattern.groups > 1:
                             more(m, 2)
-                    break
         if "@" in text and ("<" in text or "[mailto:" in text):
             for m in _BOX.finditer(text):
                 line = max(text.rfind("\n", 0, m.start()) + 1, m.start() - 70)
@@ -375,7 +414,7 @@ class Finder:
         taken = bytearray(len(text))
 
         def take(spans: list[tuple[int, int]], kind: str) -> None:
-            for a, b in sorted(set(spans), key=lambda s: (s[0] - s[1], s[0])):
+            for a, b in sorted(set(spans), key=lambda s: (s[0] - s[1], s[0])) if len(spans) > 1 else spans:
                 if any(taken[a:b]):
                     if kind != "person" or "," not in text[a:b]:
                         continue
@@ -385,11 +424,12 @@ class Finder:
                 taken[a:b] = b"\1" * (b - a)
                 found.append((a, b, kind))
 
-        take(self.emails(text), "email")
-        take(self.numbers(text), "id_number")
+        groups = self.groups(text)
+        take(self.emails(text, groups), "email")
+        take(self.numbers(text, groups), "id_number")
         take(self.phones(text), "phone")
-        take(self.addresses(text), "address")
-        people = self.persons(text, post)
+        take(self.addresses(text, groups), "address")
+        people = self.persons(text, post, groups)
         if people:
             take(people, "person")
             again = []
