@@ -23,6 +23,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import checkpoint_dir
 from . import tokens
 from .common import need, spread
 
@@ -62,6 +63,10 @@ def draw(
     stats_key = ["source", "size_class", "coarse"]
     rows = sized.select("doc_id", "source", "n_tokens", key.alias("key"), size_class.alias("size_class"), coarse.alias("coarse"))
 
+    # sizes are used three times; a checkpoint of ids and sizes in the shared folder spares counting again
+    checkpoint_dir(spark)
+    rows = rows.checkpoint()
+
     # one row per bucket: at most sources x size classes x 4096, whatever the number of documents
     buckets = rows.groupBy(*stats_key).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("size"))
     supply = {r[0]: (r[1], r[2]) for r in buckets.groupBy("source").agg(F.sum("size"), F.sum("docs")).collect()}
