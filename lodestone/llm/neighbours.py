@@ -3,12 +3,12 @@
 1. Equal vectors become one class with its six smallest ids (a partial top-k before the
    shuffle, so a class that holds a third of all rows sends six rows per task).
 2. A tree fitted on a bounded sample cuts the space into cells of about ``cell_rows``
-   classes; a class enters its own cell and, in falling order of priority, further cells
-   whose hyperplanes it is close to.
+   classes; a class enters the ``copies`` cells that come first in its order of priority,
+   its own one and the next across the hyperplane it is closest to.
 3. Inside a cell a forest is searched through one priority queue shared by its trees, and
    the best candidates are scored again in double precision from the original numbers.
-4. The lists of a class from all its cells are merged; ids beyond a class's first six get
-   their class's list by an equi-join.
+4. The lists of a class from all its cells are merged, and every id gets its class's list
+   by an equi-join.
 
 Every row is indexed and every row is a query.  The sample is bounded by ``sample_rows``
 (documented parameter), the broadcast tree by ``max_cells`` hyperplanes.
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import neighbours_kernel as kernel
+from ..runtime import ship
 from .common import need, spread
 
 FIRST = 6  # ids kept of a class of equal vectors: five neighbours and the id itself
@@ -66,35 +67,35 @@ def _valid(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest_pairs(
     vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "embeddings", k: int = 5, min_cosine: float = 0.82, dim: int = 128,
-    cell_rows: int = 24_000, max_cells: int = 4096, sample_rows: int = 20_000, near: float = 0.04, copies: int = 3,
-    trees: int = 3, leaf_rows: int = 256, least: int = 6, most: int = 96, reach: float = 0.05,
+    cell_rows: int = 24_000, max_cells: int = 4096, sample_rows: int = 20_000, copies: int = 2,
+    trees: int = 3, leaf_rows: int = 256, least: int = 6, most: int = 48, reach: float = 0.05,
 ) -> DataFrame:
     """(id_a, id_b, cosine), id_a < id_b: one is among the k nearest of the other, at least ``min_cosine``."""
     if k + 1 > FIRST:
         raise ValueError(f"k may be at most {FIRST - 1}")
     need(vectors, id_col, vector_col)
     spark = vectors.sparkSession
+    ship(spark)
     base = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
 
     # --- the tree over cells, from a bounded sample
     total = base.count()
-    n_cells = max(1, min(max_cells, round(total / cell_rows)))
+    n_cells = max(copies, min(max_cells, round(total / cell_rows)))
+    share = min(1.0, 1.2 * sample_rows / max(total, 1))
+    buckets = 1 << 20
+    chosen = base.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) < max(1, int(share * buckets)))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, x = _valid(b, dim)
+            if len(i):
+                yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary())], names=["v"])
+
+    raw = chosen.mapInArrow(sample, "v binary").toArrow()["v"].slice(0, sample_rows)
     tree = None
-    if n_cells > 1:
-        share = min(1.0, 1.2 * sample_rows / total)
-        buckets = 1 << 20
-        chosen = base.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) < int(share * buckets)).limit(sample_rows)
-
-        def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                i, x = _valid(b, dim)
-                if len(i):
-                    yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary())], names=["v"])
-
-        raw = chosen.mapInArrow(sample, "v binary").toArrow()["v"]
-        if raw.length() if hasattr(raw, "length") and callable(raw.length) else len(raw):
-            x = _unit(_matrix(raw, dim)).astype(np.float32)
-            tree, _ = kernel.build_tree(x, max(2, math.ceil(len(x) / n_cells)), np.random.default_rng(11), max_leaves=max_cells)
+    if len(raw):
+        x = np.unique(_unit(_matrix(raw, dim)).astype(np.float32), axis=0)
+        tree, _ = kernel.build_tree(x, max(2, math.ceil(len(x) / n_cells)), np.random.default_rng(11), max_leaves=max_cells, tries=16)
     shared = spark.sparkContext.broadcast(tree)  # at most max_cells hyperplanes of dim numbers
 
     # --- valid rows, as bytes with a digest that names the class of equal vectors
@@ -108,7 +109,12 @@ def nearest_pairs(
                 keys = [hashlib.blake2b(r, digest_size=16).digest() for r in rows]
                 yield pa.record_batch([pa.array(i, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], names=["id", "key", "v"])
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in clean(batches):
+            yield b.select(["id", "key"])
+
     rows = spread(base).mapInArrow(clean, "id bigint, key binary, v binary")
+    members = spread(base).mapInArrow(keyed, "id bigint, key binary").distinct()
     smallest = Window.partitionBy("key").orderBy("id")
     classes = (
         rows.withColumn("r", F.dense_rank().over(smallest)).filter(F.col("r") <= FIRST)
@@ -127,11 +133,9 @@ def nearest_pairs(
                 who, cell = [], []
                 for a in range(0, b.num_rows, 2000):
                     x = _unit(_matrix(b.column(2).slice(a, 2000), dim)).astype(np.float32)
-                    p = kernel.priorities(t, x)
-                    most_first = np.argsort(-p, axis=1)[:, :copies]
-                    r, c = np.nonzero((np.take_along_axis(p, most_first, 1) >= -near) | (np.arange(most_first.shape[1]) == 0))
-                    who.append(r + a)
-                    cell.append(most_first[r, c])
+                    first = np.argsort(-kernel.priorities(t, x), axis=1)[:, :copies]
+                    who.append(np.repeat(np.arange(a, a + len(x)), first.shape[1]))
+                    cell.append(first.ravel())
                 who, cell = np.concatenate(who), np.concatenate(cell)
             taken = b.take(pa.array(who))
             yield pa.record_batch([pa.array(cell.astype(np.int32)), *taken.columns], names=["cell", "key", "ids", "v"])
@@ -139,41 +143,48 @@ def nearest_pairs(
     cells = classes.select("key", "ids", "v").mapInArrow(route, "cell int, key binary, ids array<bigint>, v binary")
 
     def look(table: pa.Table) -> pa.Table:
-        keys, ids = table["key"].to_pylist(), table["ids"].to_pylist()
-        raw = _matrix(table["v"], dim)
-        exact = _unit(raw)
+        exact = _unit(_matrix(table["v"], dim))
         found, _ = kernel.search(exact.astype(np.float32), k + 4, trees, leaf_rows, least, most, reach)
-        out_k, out_i, out_c = [], [], []
-        for a in range(0, len(keys), 4096):
-            f = found[a : a + 4096]
-            score = np.round(np.einsum("ijk,ik->ij", exact[f], exact[a : a + 4096]), 6)
-            score[f < 0] = -2.0
-            for r in range(len(f)):
-                own = [(-1.0, i) for i in ids[a + r]]
-                for c, j in zip(score[r], f[r]):
-                    if j >= 0 and c >= min_cosine:
-                        own += [(-float(c), i) for i in ids[j]]
-                own = sorted(set(own))[:FIRST]
-                out_k.append(keys[a + r])
-                out_i.append([i for _, i in own])
-                out_c.append([-c for c, _ in own])
-        return pa.table({"key": pa.array(out_k, pa.binary()), "n": pa.array(out_i, pa.list_(pa.int64())), "c": pa.array(out_c, pa.list_(pa.float64())), "ids": pa.array(ids, pa.list_(pa.int64()))})
-
-    lists = cells.groupBy("cell").applyInArrow(look, "key binary, n array<bigint>, c array<double>, ids array<bigint>")
+        n = len(exact)
+        score = np.empty(found.shape)
+        for a in range(0, n, 4096):
+            score[a : a + 4096] = np.round(np.einsum("ijk,ik->ij", exact[found[a : a + 4096]], exact[a : a + 4096]), 6)
+        good = (found >= 0) & (score >= min_cosine)
+        ids = table["ids"].combine_chunks()
+        starts, sizes = np.asarray(ids.offsets)[:-1], np.diff(np.asarray(ids.offsets))
+        flat = ids.values.to_numpy(zero_copy_only=False)
+        # classes of one id with neighbours of one id: ranked all at once
+        own = flat[starts]
+        pairs_i = np.concatenate([own[:, None], np.where(good, own[found], np.iinfo(np.int64).max)], 1)
+        pairs_c = np.concatenate([np.ones((n, 1)), np.where(good, score, -2.0)], 1)
+        order = np.lexsort((pairs_i, -pairs_c), axis=1)[:, :FIRST]
+        pairs_i, pairs_c = np.take_along_axis(pairs_i, order, 1), np.take_along_axis(pairs_c, order, 1)
+        there = pairs_c > -2.0
+        lists_i: list = [r[m] for r, m in zip(pairs_i, there)]
+        lists_c: list = [r[m] for r, m in zip(pairs_c, there)]
+        for r in np.nonzero((sizes > 1) | (good & (sizes[found] > 1)).any(1))[0]:
+            best = {(-1.0, int(i)) for i in flat[starts[r] : starts[r] + sizes[r]]}
+            for c, j in zip(score[r][good[r]], found[r][good[r]]):
+                best.update((-float(c), int(i)) for i in flat[starts[j] : starts[j] + sizes[j]])
+            ranked = sorted(best)[:FIRST]
+            lists_i[r], lists_c[r] = np.array([i for _, i in ranked]), np.array([-c for c, _ in ranked])
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists_i])]).astype(np.int32)
+        return pa.table(
+            {
+                "key": table["key"],
+                "n": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists_i).astype(np.int64))),
+                "c": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists_c))),
+            }
+        )
+
+    lists = cells.groupBy("cell").applyInArrow(look, "key binary, n array<bigint>, c array<double>")
     zipped = F.transform(F.arrays_zip("n", "c"), lambda s: F.struct((-s["c"]).alias("m"), s["n"].alias("n")))
     merged = (
-        lists.select("key", "ids", zipped.alias("l")).groupBy("key")
-        .agg(F.first("ids").alias("ids"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("l")))), 1, FIRST).alias("l"))
-    )
-
-    # --- pairs of the ids of a class: its first six, and all others of classes that have more
-    named = merged.select(F.explode("ids").alias("id"), "l")
-    big = merged.filter(F.size("ids") == FIRST).select("key", "ids", "l")
-    rest = (
-        rows.select("id", "key").join(big, "key").filter(~F.array_contains("ids", F.col("id"))).select("id", "l")
+        lists.select("key", zipped.alias("l")).groupBy("key")
+        .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("l")))), 1, FIRST).alias("l"))  # one list per cell of the class
     )
     directed = (
-        named.unionByName(rest)
+        members.join(merged, "key")
         .select("id", F.slice(F.filter("l", lambda s: s["n"] != F.col("id")), 1, k).alias("l"))
         .select("id", F.explode("l").alias("s"))
         .filter(-F.col("s.m") >= min_cosine)

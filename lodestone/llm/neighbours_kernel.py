@@ -26,11 +26,17 @@ class Tree:
         return self.normals.nbytes + self.offsets.nbytes + self.children.nbytes
 
 
-def _split(x: np.ndarray, rng: np.random.Generator, sample: int = 256) -> tuple[np.ndarray, float] | None:
-    """Hyperplane between two centres of the rows; None where all rows are equal."""
+def _split(x: np.ndarray, rng: np.random.Generator, sample: int = 256, tries: int = 1, near: float = 0.05) -> tuple[np.ndarray, float] | None:
+    """Hyperplane between two centres of the rows; None where all rows are equal.
+
+    Of several tries the one is taken that leaves the fewest rows close to it, so that
+    crowds stay on one side.
+    """
     n = len(x)
-    pick = x if n <= sample else x[rng.choice(n, sample, replace=False)]
-    for _ in range(3):
+    best: tuple[float, np.ndarray, float] | None = None
+    done = 0
+    for _ in range(tries + 2):
+        pick = x if n <= sample else x[rng.choice(n, sample, replace=False)]
         i, j = rng.choice(len(pick), 2, replace=False)
         a, b = pick[i].copy(), pick[j].copy()
         for _ in range(4):
@@ -53,11 +59,17 @@ def _split(x: np.ndarray, rng: np.random.Generator, sample: int = 256) -> tuple[
                 cut = float((m.min() + m.max()) / 2)
             if not 0 < int((m > cut).sum()) < len(m):
                 continue
-        return normal.astype(np.float32), cut
-    return None
+            share = float((m > cut).mean())
+        cost = float((np.abs(m - cut) < near).mean()) + abs(share - 0.5) * 0.3
+        if best is None or cost < best[0]:
+            best = (cost, normal.astype(np.float32), cut)
+        done += 1
+        if done >= tries:
+            break
+    return best and best[1:]
 
 
-def build_tree(x: np.ndarray, leaf_size: int, rng: np.random.Generator, max_leaves: int = 1 << 30) -> tuple[Tree, list[np.ndarray]]:
+def build_tree(x: np.ndarray, leaf_size: int, rng: np.random.Generator, max_leaves: int = 1 << 30, tries: int = 1) -> tuple[Tree, list[np.ndarray]]:
     """Tree over the rows of x, and the rows of each leaf."""
     normals, offsets, children = [], [], []
     parts: list[np.ndarray] = []
@@ -66,7 +78,7 @@ def build_tree(x: np.ndarray, leaf_size: int, rng: np.random.Generator, max_leav
     open_parts = 1
     while stack:
         rows, parent, side = stack.pop()
-        cut = _split(x[rows], rng) if len(rows) > leaf_size and len(parts) + open_parts < budget else None
+        cut = _split(x[rows], rng, 256 if tries == 1 else 1024, tries) if len(rows) > leaf_size and len(parts) + open_parts < budget else None
         left = None
         if cut is not None:
             left = x[rows] @ cut[0] > cut[1]
