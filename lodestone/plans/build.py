@@ -67,8 +67,8 @@ def bm25_topk(spark, sf_dir):
 @query
 def l2_normalize(spark, sf_dir):
     v = t(spark, sf_dir, "vector_store").filter(F.col("embeddings").isNotNull() & ~F.exists("embeddings", lambda x: F.isnan(x))).distinct()
-    return v.select("chunk_id", F.transform(X.l2_normalized(F.col("embeddings")), lambda x: F.round(x, 5)).alias("unit")).select(
-        "chunk_id", F.size("unit").alias("dim"), F.round(F.reduce("unit", F.lit(0.0), lambda s, x: s + x), 3).alias("total"), F.round(X.norm(F.col("unit")), 3).alias("norm")
+    return v.select("chunk_id", X.l2_normalized(F.col("embeddings")).alias("unit")).select(
+        "chunk_id", F.size("unit").alias("dim"), F.round(F.reduce("unit", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(X.norm(F.col("unit")), 6).alias("norm")
     )
 
 

@@ -89,8 +89,8 @@ def oracle_sql() -> dict[str, str]:
     o["l2_normalize"] = """
 WITH v AS (SELECT DISTINCT chunk_id, embeddings FROM vector_store WHERE embeddings IS NOT NULL AND len(list_filter(embeddings, lambda x: isnan(x))) = 0),
 n AS (SELECT chunk_id, embeddings, sqrt(list_sum(list_transform(embeddings, lambda x: x::DOUBLE * x::DOUBLE))) AS size FROM v),
-u AS (SELECT chunk_id, list_transform(embeddings, lambda x: round(x::DOUBLE / CASE WHEN size = 0 THEN 1 ELSE size END, 5)) AS unit FROM n)
-SELECT chunk_id, len(unit)::INTEGER AS dim, round(list_sum(unit), 3) AS total, round(sqrt(list_sum(list_transform(unit, lambda x: x * x))), 3) AS norm FROM u"""
+u AS (SELECT chunk_id, list_transform(embeddings, lambda x: x::DOUBLE / CASE WHEN size = 0 THEN 1 ELSE size END) AS unit FROM n)
+SELECT chunk_id, len(unit)::INTEGER AS dim, round(list_sum(unit), 6) AS total, round(sqrt(list_sum(list_transform(unit, lambda x: x * x))), 6) AS norm FROM u"""
     o["dense_topk"] = """
 WITH s AS (
     SELECT q.vec_id AS query_id, e.vec_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score
