@@ -93,8 +93,8 @@ def _strip_c(text: str) -> tuple[str, list[Comment]]:
 
 _C_NAME = re.compile(r"(~?[A-Za-z_]\w*(?:\s*<[^<>(){};]*>)?|operator\s*(?:\(\s*\)|\[\s*\]|[^\s\w(]{1,3}|\w+))\s*\(")
 _C_AFTER = re.compile(
-    r"\s*(?:const\b|volatile\b|noexcept\b(?:\s*\([^()]*\))?|override\b|final\b|throw\s*\([^()]*\)|&&?|"
-    r"->\s*[\w:<>,*&\s]+?|where\s+\w+\s*:[^{;]*|requires[^{;]*|try\b|\[\[[^\]]*\]\])*\s*(?=[{:])"
+    r"(?:\s*(?:const\b|volatile\b|noexcept\b(?:\s*\([^()]*\))?|override\b|final\b|throw\s*\([^()]*\)|&&?|"
+    r"->\s*[\w:<>,*&\s]+?|where\s+\w+\s*:[^{;]*|requires[^{;]*|try\b|\[\[[^\]]*\]\]))*\s*(?=[{:])"
 )
 _C_PARAM = re.compile(r"([A-Za-z_]\w*)\s*(?:=[^,]*)?(?:\[[^\]]*\])?\s*$")
 
@@ -277,7 +277,7 @@ _POINTER = re.compile(
     r"same as\s+\w+.*|overridden\b.*|overrides?\b.{0,40}|implements\s+\w+.{0,30}|documented (?:in|at)\b.*|siehe\b.{0,40}|voir\b.{0,40})\W*$", re.I
 )
 _PLACEHOLDER = re.compile(
-    r"^\W*(?:todo|fixme|tbd|xxx|hack|n/?a|none|no description|no documentation|undocumented|to be (?:documented|done|written)|write (?:docs?|me)|"
+    r"^\W*(?:todo|fixme|tbd|xxx|hack)\b.*$|^\W*(?:n/?a|none|no description|no documentation|undocumented|to be (?:documented|done|written)|write (?:docs?|me)|"
     r"description|docstring|documentation|doc|missing|dummy|placeholder)\b[\s:.\-]*(?:(?:write|add)?\s*(?:the\s+)?(?:docs?|document(?:ation|ed)?|description|this|later|me)?)\W*$", re.I
 )
 _BANNER = re.compile(

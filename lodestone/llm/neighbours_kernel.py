@@ -183,7 +183,7 @@ def search(
         for a in range(0, len(asking), 2048):
             q = asking[a : a + 2048]
             s = x[q] @ cols
-            k = min(keep, s.shape[1])
+            k = min(keep + 1, s.shape[1])  # one of them may be the row itself
             top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.broadcast_to(np.arange(k), s.shape)
             new_s = np.take_along_axis(s, top, 1)
             new_i = rows[top].astype(np.int32)

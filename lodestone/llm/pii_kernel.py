@@ -15,8 +15,8 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 # ------------------------------------------------------------------ email
 
 _EMAIL = re.compile(r"(?<![\w.+%@-])[A-Za-z0-9](?:[\w.+%-]*[\w+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![\w@-])")
-#: ``K@v.T`` and the like: matrix products of single letters.
-_PRODUCT = re.compile(r"^[A-Za-z_]\w{0,2}@[A-Za-z_]\w{0,2}\.[A-Za-z]+$")
+#: ``K@v.T`` and the like: a matrix product with an attribute, no address.
+_PRODUCT = re.compile(r"^[A-Za-z_]\w?@[A-Za-z_]\w?\.(?:T|H|I|A|data|real|imag|flat|shape|size|dtype|inv|copy|dot|sum|mean)$")
 _HIDDEN = re.compile(
     r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*\w)?"
     r"(?:\s?(?:\[at\]|\(at\)|\{at\}|<at>|\[@\]|\(@\))\s?|\s(?:AT|_at_)\s)"
@@ -252,7 +252,7 @@ class Finder:
         self.groups = _word_finder()
         self.known: dict[str, set[str]] = {}
         for d in directory or ():
-            d = " ".join((d or "").split())
+            d = " ".join(w.title() if w.isupper() and len(w.strip(".,")) > 1 else w for w in (d or "").split())
             if len(d) < 5 or " " not in d:
                 continue
             forms = {d}
@@ -263,7 +263,7 @@ class Finder:
                 parts = d.split(" ")
                 forms.add(f"{' '.join(parts[1:])}, {parts[0]}")
             for f in forms:
-                for g in (f, f.title() if f.isupper() else f):
+                for g in (f, f.upper()):
                     self.known.setdefault(g.split(" ", 1)[0], set()).add(g)
 
     # -------------------------------------------------------------- parts
@@ -460,4 +460,4 @@ class Finder:
         return out
 
 
-_CAPITALISED = re.compile(rf"(?<![\w@.])(?:[OD]['’])?[{_UP}]{_L}{{3,}}(?:-{_L}+)*,?(?= )")
+_CAPITALISED = re.compile(rf"(?<![\w@.])(?:[OD]['’])?[{_UP}]{_L}+(?:-{_L}+)*,?(?= )")

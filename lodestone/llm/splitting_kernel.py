@@ -100,8 +100,11 @@ def cut(text: str, char_token: np.ndarray, limit: int, overlap: int) -> list[tup
     path = reached(succ)
     pieces = []
     for a, b in zip(path[:-1], path[1:]):
+        end = int(places[b])
         s = 0 if a == 0 else int(places[np.searchsorted(places, max(places[a] - overlap, 0), side="right") - 1])
-        pieces.append((s, int(places[b])))
+        if end - s > limit:  # a long token leaves no room for the whole overlap
+            s = min(int(places[np.searchsorted(places, end - limit)]), int(places[a]))
+        pieces.append((s, end))
     return pieces
 
 
