@@ -38,6 +38,17 @@ def tokenize(c: Column) -> Column:
     return F.flatten(F.transform(runs, parts))
 
 
+def token_bag(c: Column) -> Column:
+    """The tokens of ``tokenize`` in another order: first all runs, then the parts of those that have any.
+
+    Only runs with an underscore or a change of case are taken apart, which are few.
+    """
+    whole = F.transform(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), F.lower)
+    composed = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]*(?:_|[a-z0-9](?=[A-Z]))[A-Za-z0-9_]*"), F.lit(0))
+    parts = F.flatten(F.transform(composed, lambda r: F.transform(F.split(r, r"_|(?<=[a-z0-9])(?=[A-Z])"), F.lower)))
+    return F.concat(whole, F.array_remove(parts, ""))
+
+
 def query_identifiers(c: Column) -> Column:
     """Identifiers of a query in order, split at ``::`` and ``.``, lower case."""
     runs = F.regexp_extract_all(c, F.lit(pattern(r"[A-Za-z_][\w:]*")), F.lit(0))

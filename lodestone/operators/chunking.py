@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as T
-from ..runtime import ship
+from ..runtime import ship, spread
 
 Chunk = tuple[int, str, str, str]  # line, text, symbol, chunk type
 
@@ -206,7 +206,7 @@ def chunk_files(files: DataFrame, path_col: str = "path", text_col: str = "text"
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["path", "chunk_ord", "line", "text", "symbol", "language", "chunk_type"])
 
     work = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).filter(F.col("path").isNotNull() & F.col("text").isNotNull())
-    return work.mapInArrow(run, _CHUNKS)
+    return spread(work).mapInArrow(run, _CHUNKS)
 
 
 def split_windows(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import ship
+from ..runtime import ship, spread
 
 MAX_QUERIES = 4096  # rows of a query block, times at most MAX_DIM numbers
 MAX_DIM = 4096
@@ -119,7 +119,7 @@ def hash_embedding(text):
 
 def hash_buckets(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, bucket, n): the hashing embedder before its length is normalised, as built-ins only."""
-    token = docs.select(F.col(id_col), F.explode(T.tokenize(F.col(text_col))).alias("token"))
+    token = spread(docs.select(id_col, text_col)).select(F.col(id_col), F.explode_outer(T.token_bag(F.col(text_col))).alias("token")).filter(F.col("token").isNotNull())
     bucket = F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint"), F.lit(BUCKETS)).cast("int")
     return token.groupBy(id_col, bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -127,4 +127,4 @@ def hash_buckets(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFr
 def embed(docs: DataFrame, text_col: str = "text", out_col: str = "embedding", embedder=None) -> DataFrame:
     """All rows with an embedding; ``embedder`` is any function from Column to Column."""
     ship(docs.sparkSession)
-    return docs.withColumn(out_col, (embedder or hash_embedding)(F.col(text_col)))
+    return spread(docs).withColumn(out_col, (embedder or hash_embedding)(F.col(text_col)))

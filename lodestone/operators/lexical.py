@@ -8,35 +8,36 @@ texts are not shuffled at all.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as T
+from ..runtime import spread
 
 DIGITS = 9  # scores are rounded before they are ranked, so that summation order cannot flip ties
 
 
+def _exploded(docs: DataFrame, tokens: Column, *columns: Column) -> DataFrame:
+    """One row per token.
+
+    The outer form keeps the optimizer from testing the size of the array in front of the
+    exchange of ``spread``, which would take every text apart twice.
+    """
+    return docs.select(*columns, F.explode_outer(tokens).alias("token")).filter(F.col("token").isNotNull())
+
+
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(token, n): occurrences in the corpus."""
-    return docs.select(F.explode(T.tokenize(F.col(text_col))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return _exploded(spread(docs.select(text_col)), T.token_bag(F.col(text_col))).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(token, df)."""
-    return docs.select(F.explode(F.array_distinct(T.tokenize(F.col(text_col)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return _exploded(spread(docs.select(text_col)), F.array_distinct(T.token_bag(F.col(text_col)))).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def corpus_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: number of documents and their mean length in tokens; a NULL text has length 0."""
-    length = F.coalesce(F.size(T.tokenize(F.coalesce(F.col(text_col), F.lit("")))), F.lit(0))
-    return docs.select(length.alias("len")).agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
-
-
-def inverse_document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token, df, idf): negative values are replaced by a share of the vocabulary's mean."""
-    df = document_frequencies(docs, text_col)
-    n = docs.agg(F.count("*").alias("docs"))
+def _weighed(df: DataFrame, n: DataFrame) -> DataFrame:
     raw = df.crossJoin(n).withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(mean).select(  # both sides of these products are one-row aggregates
@@ -44,17 +45,23 @@ def inverse_document_frequencies(docs: DataFrame, text_col: str = "text") -> Dat
     )
 
 
+def inverse_document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token, df, idf): negative values are replaced by a share of the vocabulary's mean."""
+    return _weighed(document_frequencies(docs, text_col), docs.agg(F.count("*").alias("docs")))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = V.CANDIDATES, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(query_id, id, score, rank): the k best documents of every query with a positive score."""
     asked = queries.select("query_id", F.explode(T.tokenize(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     vocabulary = asked.select("token").distinct()
     idf = inverse_document_frequencies(docs, text_col).join(vocabulary, "token", "left_semi")
-    tokens = docs.select(F.col(id_col).alias("id"), T.tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    tokens = spread(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col).alias("id"), T.token_bag(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    length = F.size("tokens")
     postings = (
-        tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).join(vocabulary, "token", "left_semi")
+        _exploded(tokens, F.col("tokens"), F.col("id"), length.alias("len")).join(vocabulary, "token", "left_semi")
         .groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     )
-    stats = corpus_statistics(docs, text_col)
+    stats = tokens.agg(F.coalesce(F.avg(length), F.lit(0.0)).alias("mean_len"))
     part = F.col("times") * F.col("idf") * (
         F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("len") / F.col("mean_len")))
     )

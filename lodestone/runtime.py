@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -45,3 +45,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table over at least half as many partitions as there are cores.
+
+    A table delivered as one small file is read by one task, and everything behind that
+    scan would leave all other cores idle.  Larger tables have enough splits of their own
+    and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

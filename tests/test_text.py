@@ -29,6 +29,14 @@ def test_tokenize(spark, text):
     assert one(spark, T.tokenize(F.col("t")), t=text) == model_tokens(text) == dense._tokens(text)
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="aB1_ é.\n", max_size=40), min_size=1, max_size=40))
+def test_token_bag(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.token_bag(F.col("t")).alias("b"), T.tokenize(F.col("t")).alias("k")).collect():
+        assert sorted(r["b"]) == sorted(r["k"]) == sorted(model_tokens(r["t"]))
+
+
 def test_symbol_keys(spark):
     for symbol, keys in [("A::b", ["a::b", "b"]), ("demo.py", ["demo.py", "py"]), ("x", ["x"]), ("", []), (None, []), ("tail::", ["tail::"])]:
         assert one(spark, T.symbol_keys(F.col("s")), s=symbol) == keys
