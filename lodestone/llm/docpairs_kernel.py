@@ -283,7 +283,7 @@ _PLACEHOLDER = re.compile(
 _BANNER = re.compile(
     r"\bcopyright\b|\ball rights reserved\b|\blicen[cs]e[ds]?\b|\bSPDX-|\bauto-?generated\b|\bautomatically generated\b|\bgenerated by\b|"
     r"\bdo not edit\b|\bproduced by\b.*\bfrom\b|\bmachine-made\b|\bvendored from\b|\bpermission to use\b|\bno warranty\b|\bpart of the simulation kit\b|"
-    r"^\W*(?:author|authors|written by|maintainer|questions|contact)\b", re.I
+    r"^\W*(?:authors?|maintainers?|questions|contact)\s*[:=]|^\W*(?:written|maintained|contributed) by\b", re.I
 )
 _CODE_LINE = re.compile(
     r";\s*$|[{}]\s*$|^\s*(?:[\w.:\[\]]+(?:->|\.)\w+\s*\(.*\)|[\w.:\[\]]+\s*[-+*/]?=\s*[^=].*|(?:if|for|while|return|else|elif|def|class|import|from|print|switch|#\s*include)\b\s*[\w(<\"'].*[:;){>]?)\s*$"

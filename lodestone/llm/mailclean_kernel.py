@@ -15,7 +15,7 @@ HEADER_LINES = 2  # ``Subject:`` and ``Date:`` in front of every post
 # ------------------------------------------------------------------ quotations
 
 #: One level of quotation; ``>>> code`` of an interactive session is no quotation.
-_QUOTE = re.compile(r"^[ \t\xa0]{0,4}(?:&gt;|>|\|(?=\s|>|$)|[A-Z][A-Za-z]{0,2}>(?=\s|>|$|\S))")
+_QUOTE = re.compile(r"^[ \t\xa0]{0,4}(?:&gt;|>|\|(?=\s|>|$)|[A-ZÀ-ÞЀ-Я][^\W\d_]{0,2}>)")
 _REPL = re.compile(r"^\s*(?:>>>|\.\.\.) (?:import |from |print\b|for |if |while |def |class |with |del |help\(|[A-Za-z_][\w.\[\]]*\s*(?:\(|=|\.)|[A-Za-z_]\w*$|[\[({'\"\d])")
 _TABLE = re.compile(r"^\s*\|.*[^\s|].*\|\s*$")
 _TABLE_IN_QUOTE = re.compile(r"^\s*\|\s*[>|]")

@@ -58,7 +58,7 @@ class C:
     "doc,found",
     [
         (f"/// {GOOD}", True), (f"/** {GOOD} */", True), (f"/**\n * @brief {GOOD}\n * @param a the a\n */", True), (f"// {GOOD}\ntemplate <typename T>", True),
-        (f"/*! {GOOD}\n*/", True), (f"//! {GOOD}", True), (f"/// <summary>{GOOD}</summary>", True), ("/// Ohne diese Prüfung läuft x über die zulässige Grenze von y hinaus.", True),
+        (f"/*! {GOOD}\n*/", True), (f"//! {GOOD}", True), ("/* The node is given in\n   contact coordinates and must be rigid. */", True), ("// Author: Nol Rusk of the machine institute up north", False), (f"/// <summary>{GOOD}</summary>", True), ("/// Ohne diese Prüfung läuft x über die zulässige Grenze von y hinaus.", True),
         (f"// {GOOD}\n", False), ("/** Get value.", False), ("// ------------------------", False), ("// ----- some long title of accessors -----", False), ("// clang-format off", False),
         ("// NOLINTNEXTLINE(readability-magic-numbers)", False), ("/// @param a the a to use in this call here\n/// @return the value that was computed", False), ("/// {@inheritDoc}", False),
         ("/// @copydoc Base::GetValue", False), ("/// See base class.", False), ("// foo->Set(1.5);\n// if (foo > 3) return;", False),

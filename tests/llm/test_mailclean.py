@@ -21,7 +21,7 @@ def gone(body):
         "Ann Lee <a@x.org> wrote on 28 Sep 2021:", "At 09:33 PM 2/17/2018, Ann Lee wrote:",
     ],
 )
-@pytest.mark.parametrize("prefix", ["> ", ">", "| ", "&gt; ", "AL> ", "  > "])
+@pytest.mark.parametrize("prefix", ["> ", ">", "| ", "&gt; ", "AL> ", "МД> ", "  > "])
 def test_quotation(intro, prefix):
     quote = f"{prefix}Is it on purpose?\n{prefix}\n{prefix}> older"
     body = f"Hi Ann,\n{OWN}\n\n{intro}\n{quote}\n\n{OWN}"
