@@ -38,11 +38,16 @@ FIRST = 6  # ids kept of a class of equal vectors: five neighbours and the id it
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    """Rows of a binary column of float32 numbers as one matrix."""
-    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(a, pa.ChunkedArray):
-        a = pa.concat_arrays(a.chunks)
-    return np.frombuffer(b"".join(a.to_pylist()), np.float32).reshape(-1, dim)
+    """Rows of a binary column of float32 numbers as one matrix, without copying rows one by one."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    parts = []
+    for c in chunks:
+        if len(c):
+            width = np.int64 if pa.types.is_large_binary(c.type) else np.int32
+            edges = np.frombuffer(c.buffers()[1], width)[c.offset : c.offset + len(c) + 1]
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[edges[0] : edges[-1]])
+    data = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint8)
+    return np.frombuffer(np.ascontiguousarray(data), np.float32).reshape(-1, dim)
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -50,6 +55,14 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _unit32(raw: np.ndarray) -> np.ndarray:
+    """Unit rows in single precision, made in blocks."""
+    out = np.empty(raw.shape, np.float32)
+    for a in range(0, len(raw), 8192):
+        out[a : a + 8192] = _unit(raw[a : a + 8192])
+    return out
+
+
 def _valid(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and float32 rows of the vectors that take part."""
     ids, vectors = batch.column(0), batch.column(1)
@@ -67,7 +80,7 @@ def _valid(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest_pairs(
     vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "embeddings", k: int = 5, min_cosine: float = 0.82, dim: int = 128,
-    cell_rows: int = 24_000, max_cells: int = 4096, sample_rows: int = 20_000, copies: int = 2,
+    cell_rows: int = 48_000, max_cells: int = 4096, sample_rows: int = 20_000, copies: int = 2,
     trees: int = 3, leaf_rows: int = 256, least: int = 6, most: int = 48, reach: float = 0.05,
 ) -> DataFrame:
     """(id_a, id_b, cosine), id_a < id_b: one is among the k nearest of the other, at least ``min_cosine``."""
@@ -132,7 +145,7 @@ def nearest_pairs(
             else:
                 who, cell = [], []
                 for a in range(0, b.num_rows, 2000):
-                    x = _unit(_matrix(b.column(2).slice(a, 2000), dim)).astype(np.float32)
+                    x = _unit32(_matrix(b.column(2).slice(a, 2000), dim))
                     first = np.argsort(-kernel.priorities(t, x), axis=1)[:, :copies]
                     who.append(np.repeat(np.arange(a, a + len(x)), first.shape[1]))
                     cell.append(first.ravel())
@@ -143,12 +156,14 @@ def nearest_pairs(
     cells = classes.select("key", "ids", "v").mapInArrow(route, "cell int, key binary, ids array<bigint>, v binary")
 
     def look(table: pa.Table) -> pa.Table:
-        exact = _unit(_matrix(table["v"], dim))
-        found, _ = kernel.search(exact.astype(np.float32), k + 4, trees, leaf_rows, least, most, reach)
-        n = len(exact)
+        raw = _matrix(table["v"], dim)
+        found, _ = kernel.search(_unit32(raw), k + 4, trees, leaf_rows, least, most, reach)
+        n = len(raw)
         score = np.empty(found.shape)
-        for a in range(0, n, 4096):
-            score[a : a + 4096] = np.round(np.einsum("ijk,ik->ij", exact[found[a : a + 4096]], exact[a : a + 4096]), 6)
+        for a in range(0, n, 2048):  # again in double precision, from the numbers as delivered
+            near, own = raw[found[a : a + 2048]].astype(np.float64), raw[a : a + 2048].astype(np.float64)
+            length = np.linalg.norm(near, axis=2) * np.linalg.norm(own, axis=1)[:, None]
+            score[a : a + 2048] = np.round(np.einsum("ijk,ik->ij", near, own) / length, 6)
         good = (found >= 0) & (score >= min_cosine)
         ids = table["ids"].combine_chunks()
         starts, sizes = np.asarray(ids.offsets)[:-1], np.diff(np.asarray(ids.offsets))
