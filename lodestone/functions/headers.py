@@ -16,33 +16,30 @@ from . import fixed_values as V
 
 
 def _year(value: str | None) -> int | None:
+    if not value:
+        return None
     try:
         return email.utils.parsedate_to_datetime(value).year
-    except Exception:  # unreadable dates have no year
+    except (TypeError, ValueError, IndexError, OverflowError):  # unreadable dates have no year
         return None
 
 
+def _as_text(data: bytes, charset: str | None) -> str:
+    """Bytes in a charset, UTF-8 where it is missing or unknown; bytes that do not fit are dropped."""
+    try:
+        return data.decode(charset or "utf-8", "ignore")
+    except LookupError:
+        return data.decode("utf-8", "ignore")
+
+
 def _decoded(value: str | None) -> str:
-    out = []
-    for raw, charset in email.header.decode_header(value or ""):
-        if isinstance(raw, bytes):
-            try:
-                out.append(raw.decode(charset or "utf-8", "ignore"))
-            except LookupError:
-                out.append(raw.decode("utf-8", "ignore"))
-        else:
-            out.append(raw)
-    return "".join(out).strip()
+    words = email.header.decode_header(value or "")
+    return "".join(w if isinstance(w, str) else _as_text(w, charset) for w, charset in words).strip()
 
 
 def _part_text(part, limit: int) -> str | None:
     payload = part.get_payload(decode=True)
-    if not payload:
-        return None
-    try:
-        return payload.decode(part.get_content_charset() or "utf-8", "ignore")[:limit]
-    except LookupError:
-        return payload.decode("utf-8", "ignore")[:limit]
+    return _as_text(payload, part.get_content_charset())[:limit] if payload else None
 
 
 def body_of(raw: str | None, limit: int = V.MAX_BODY_CHARS) -> tuple[str, str]:

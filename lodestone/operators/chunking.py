@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +23,9 @@ from ..functions import fixed_values as V
 from ..functions import text as T
 from ..runtime import ship, spread
 
+_IMPORTS = (ast.Import, ast.ImportFrom)
+_DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+
 Chunk = tuple[int, str, str, str]  # line, text, symbol, chunk type
 
 
@@ -34,23 +39,15 @@ def windows(text: str, max_chars: int = V.MAX_CHARS, overlap: int = V.OVERLAP_LI
     if len(text) <= max_chars:
         return [(0, text)] if strip or text.strip() else []
     rows = text.split("\n")
-    total = [0]
-    for r in rows:
-        total.append(total[-1] + len(r) + 1)
-    out, i, j = [], 0, 0
-    while i < len(rows):
-        j = max(j, i)
-        while j < len(rows) and total[j] - total[i] < max_chars:
-            j += 1
-        piece = "\n".join(rows[i:j])
-        if strip:
-            piece = piece.strip()
-        if piece.strip():
-            out.append((i, piece))
-        if j >= len(rows):
-            break
-        i = max(j - overlap, i + 1)
-    return out
+    before = list(accumulate((len(r) + 1 for r in rows), initial=0))  # characters in front of every line
+    found = []
+    start, stop = 0, 0
+    while stop < len(rows):
+        stop = min(bisect_left(before, before[start] + max_chars), len(rows))
+        found.append((start, "\n".join(rows[start:stop])))
+        start = max(stop - overlap, start + 1)
+    pieces = ((line, piece.strip() if strip else piece) for line, piece in found)
+    return [(line, piece) for line, piece in pieces if not piece.isspace() and piece]
 
 
 def _whole(text: str, name: str) -> list[Chunk]:
@@ -64,28 +61,17 @@ def python_chunks(text: str, name: str) -> list[Chunk]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return _whole(text, name)
     lines = text.splitlines()
-    imports = (ast.Import, ast.ImportFrom)
-    span = lambda a, b: "\n".join(lines[a.lineno - 1 : b.end_lineno])
-    header = "\n".join(span(n, n) for n in body if isinstance(n, imports))
+    source = lambda first, last: "\n".join(lines[first.lineno - 1 : last.end_lineno])
+    header = "".join(source(n, n) + "\n" for n in body if isinstance(n, _IMPORTS))
     out: list[Chunk] = []
-    run: list[ast.stmt] = []
-
-    def add(first: ast.stmt, source: str, symbol: str, kind: str) -> None:
-        out.extend((first.lineno + i, t, symbol, kind) for i, t in windows(source))
-
-    def close() -> None:
-        if run:
-            add(run[0], span(run[0], run[-1]), name, "module")
-            run.clear()
-
-    for node in body:
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            close()
-            source = span(node, node)
-            add(node, f"{header}\n\n{source}" if header else source, node.name, "class" if isinstance(node, ast.ClassDef) else "function")
-        elif not isinstance(node, imports):
-            run.append(node)
-    close()
+    rest = (n for n in body if not isinstance(n, _IMPORTS))  # imports do not end a run of statements
+    for defines, group in groupby(rest, lambda n: isinstance(n, _DEFINITIONS)):
+        nodes = list(group)
+        if defines:
+            parts = [(n, (header and header + "\n") + source(n, n), n.name, "class" if isinstance(n, ast.ClassDef) else "function") for n in nodes]
+        else:
+            parts = [(nodes[0], source(nodes[0], nodes[-1]), name, "module")]
+        out += [(n.lineno + i, t, symbol, kind) for n, whole, symbol, kind in parts for i, t in windows(whole)]
     return out or _whole(text, name)
 
 
@@ -128,10 +114,8 @@ def c_chunks(text: str, name: str) -> list[Chunk]:
     out: list[Chunk] = []
 
     def add(a: int, b: int, symbol: str, kind: str) -> None:
-        import bisect
-
         begin, body = a, source[a:b]
-        i = bisect.bisect_right(starts, a) - 1
+        i = bisect_right(starts, a) - 1
         if i >= 0 and not source[starts[i] : a].strip():
             begin = comments[starts[i]]
             body = source[begin : starts[i]].rstrip("\n") + "\n" + body

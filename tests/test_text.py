@@ -16,11 +16,17 @@ def one(spark, expr, **columns):
 
 
 def model_tokens(text):
+    """Character by character: runs, and the parts of runs between underscores and rises of case."""
     out = []
-    for raw in re.findall(r"[A-Za-z0-9_]+", text):
-        whole = raw.lower()
-        out.append(whole)
-        out += [p.lower() for p in re.split(r"_|(?<=[a-z0-9])(?=[A-Z])", raw) if p and p.lower() != whole]
+    for raw in "".join(c if c.isascii() and (c.isalnum() or c == "_") else " " for c in text).split():
+        parts, last = [""], ""
+        for c in raw:
+            if c == "_" or c.isupper() and (last.islower() or last.isdigit()):
+                parts.append("")
+            if c != "_":
+                parts[-1] += c.lower()
+            last = c
+        out += [raw.lower(), *(p for p in parts if p and p != raw.lower())]
     return out
 
 
@@ -118,22 +124,17 @@ def test_html(spark):
 
 
 def model_windows(text, max_chars, overlap, strip):
+    """The definition, spelled out with no regard to speed."""
     if len(text) <= max_chars:
         return [(0, text)] if strip or text.strip() else []
-    rows, out, i = text.split("\n"), [], 0
-    while i < len(rows):
-        j, n = i, 0
-        while j < len(rows) and n < max_chars:
-            n += len(rows[j]) + 1
-            j += 1
-        piece = "\n".join(rows[i:j])
-        piece = piece.strip() if strip else piece
-        if piece.strip():
-            out.append((i, piece))
-        if j >= len(rows):
-            break
-        i = max(j - overlap, i + 1)
-    return out
+    rows = text.split("\n")
+    size = lambda a, b: sum(len(r) + 1 for r in rows[a:b])
+    end = lambda a: next((b for b in range(a, len(rows)) if size(a, b) >= max_chars), len(rows))
+    starts = [0]
+    while end(starts[-1]) < len(rows):
+        starts.append(max(end(starts[-1]) - overlap, starts[-1] + 1))
+    pieces = [(a, "\n".join(rows[a : end(a)])) for a in starts]
+    return [(a, p.strip() if strip else p) for a, p in pieces if p.strip()]
 
 
 @settings(max_examples=300, deadline=None)
