@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from . import srcfilter_kernel as kernel
 from .common import extension_of, need, spread
 
-#: language family: (digit share, encoded share, numeric share) of data, (white space, mean line) of minified text, idioms per line
-DEFAULT = {"digits": 0.25, "encoded": 0.30, "numeric": 0.60, "space": 0.07, "mean_line": 110.0, "line": 500.0, "idioms": 0.20}
+#: Limits of a language: shares of digits, encoded runs, numeric literals and (with a long run) letters and digits in data;
+#: share of white space and mean or longest line of minified text; generator idioms per line.
+DEFAULT = {"digits": 0.25, "encoded": 0.30, "numeric": 0.60, "alnum": 0.93, "run": 60.0, "space": 0.07, "mean_line": 110.0, "line": 500.0, "idioms": 0.20}
 THRESHOLDS: dict[str, dict[str, float]] = {
     "py": DEFAULT | {"digits": 0.28},
     "js": DEFAULT | {"space": 0.09, "mean_line": 90.0, "line": 400.0},
@@ -93,6 +94,7 @@ def machine_files(chunks: DataFrame, path_col: str = "path", text_col: str = "te
     data = enough & (
         (F.col("n_digit") / visible >= _limit("digits")) | (F.col("n_encoded") / chars >= _limit("encoded"))
         | (F.col("n_numeric") / tokens >= _limit("numeric")) & (F.col("n_digit") / visible >= 0.2)
+        | (F.col("n_alnum") / visible >= _limit("alnum")) & (F.col("max_run") >= _limit("run"))
     )
     reason = (
         F.when(foreign, "foreign").when(minified, "minified").when(generated, "generated").when(data, "data")
