@@ -81,7 +81,7 @@ def _valid(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def nearest_pairs(
     vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "embeddings", k: int = 5, min_cosine: float = 0.82, dim: int = 128,
     cell_rows: int = 48_000, max_cells: int = 4096, sample_rows: int = 20_000, copies: int = 2,
-    trees: int = 3, leaf_rows: int = 256, least: int = 6, most: int = 48, reach: float = 0.05,
+    trees: int = 3, leaf_rows: int = 256, least: int = 6, most: int = 56, reach: float = 0.055,
 ) -> DataFrame:
     """(id_a, id_b, cosine), id_a < id_b: one is among the k nearest of the other, at least ``min_cosine``."""
     if k + 1 > FIRST:
