@@ -3,8 +3,10 @@
 ``find`` lists every item with its type and place.  ``scrub`` replaces items either by a
 placeholder of their type or by a keyed surrogate of the same type, gender ending, script
 and format.  Surrogates are a function of a key and the item, so the same item gets the
-same surrogate everywhere (coreference); items that would share a surrogate are told
-apart by a check over all distinct items (distinctness).
+same surrogate everywhere (coreference); of items that would share a surrogate all but the
+first move to another variant, found by one check over all distinct items (distinctness).
+The check is made once: that a new variant meets yet another item's surrogate is unlikely
+but not excluded.
 
 Defined results for odd input: NULL, empty and blank texts have no items and stay as they
 are; overlapping candidates are settled in favour of the more certain type and the longer
@@ -92,7 +94,7 @@ def scrub(
 
     schema = pa.schema([*SCHEMA, ("entity", pa.string()), ("surrogate", pa.string())])
     named = arrow_rows(items, name_them, schema)
-    # entities that would share a surrogate: all but the first of them get the next free variant
+    # entities that would share a surrogate: all but the first of them get another variant
     entities = named.select("pii_type", "entity", "surrogate").distinct()
     shared = Window.partitionBy("pii_type", "surrogate").orderBy("entity")
     clashing = (
