@@ -140,14 +140,44 @@ def priorities(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _scan(x: np.ndarray, asking: np.ndarray, best_i: np.ndarray, best_s: np.ndarray, rows: int = 512, width: int = 8192) -> None:
+    """Score the asking rows against all rows of x, in blocks; best_i and best_s get their exact best.
+
+    What the lists already hold is a bound: only rows that reach it are ranked.
+    """
+    keep = best_i.shape[1]
+    for a in range(0, len(asking), rows):
+        q = asking[a : a + rows]
+        bound = best_s[q].min(1) - 1e-5  # products of other blocks may round differently
+        top_i, top_s = np.full((len(q), keep), -1, np.int32), np.full((len(q), keep), -2.0, np.float32)
+        for b in range(0, len(x), width):
+            s = x[q] @ x[b : b + width].T
+            own = np.nonzero((q >= b) & (q < b + width))[0]
+            s[own, q[own] - b] = -2.0
+            r, c = np.nonzero(s > bound[:, None])
+            if not len(r):
+                continue
+            all_r = np.concatenate([np.repeat(np.arange(len(q)), keep), r])
+            all_i = np.concatenate([top_i.ravel(), (c + b).astype(np.int32)])
+            all_s = np.concatenate([top_s.ravel(), s[r, c]])
+            order = np.lexsort((all_i, -all_s, all_r))
+            all_r, all_i, all_s = all_r[order], all_i[order], all_s[order]
+            place = np.arange(len(all_r)) - np.searchsorted(all_r, np.arange(len(q)))[all_r]
+            first = place < keep  # every row has at least `keep` entries
+            top_i, top_s = all_i[first].reshape(-1, keep), all_s[first].reshape(-1, keep)
+            bound = np.maximum(bound, top_s[:, -1] - 1e-5)
+        best_i[q], best_s[q] = top_i, top_s
+
+
 def search(
     x: np.ndarray, keep: int, trees: int = 4, leaf_size: int = 256, least: int = 6, most: int = 48, reach: float = 0.04, seed: int = 7
 ) -> tuple[np.ndarray, np.ndarray]:
     """For every row of unit vectors x the `keep` best other rows: indices (-1: none) and cosines.
 
     Every row takes leaves from the queue shared by all trees: the `least` first ones in any
-    case, then further ones while their priority is above ``-reach``, at most `most`.  Rows
-    in crowds lie close to many hyperplanes and so look into more leaves than others.
+    case, then further ones while their priority is above ``-reach``.  Rows in crowds lie
+    close to many hyperplanes; a row that would look into more than `most` leaves is scored
+    against all rows instead, with its first leaves as a bound.
     Candidates are scored by exact products of the rows.
     """
     n = len(x)
@@ -161,6 +191,7 @@ def search(
     total = len(members)
     most = min(most, total)
     by_leaf: list[list[np.ndarray]] = [[] for _ in range(total)]
+    crowded: list[np.ndarray] = []
     for a in range(0, n, 4096):
         block = x[a : a + 4096]
         p = np.concatenate([priorities(t, block) for t, _ in forest], axis=1)
@@ -168,7 +199,12 @@ def search(
         value = np.take_along_axis(p, chosen, 1)
         order = np.argsort(-value, axis=1)
         chosen, value = np.take_along_axis(chosen, order, 1), np.take_along_axis(value, order, 1)
-        row, col = np.nonzero((value >= -reach) | (np.arange(most) < least))
+        wanted = (value >= -reach) | (np.arange(most) < least)
+        if most < total:
+            capped = value[:, -1] >= -reach
+            crowded.append(np.nonzero(capped)[0] + a)
+            wanted[capped, least:] = False
+        row, col = np.nonzero(wanted)
         flat = chosen[row, col]
         order = np.argsort(flat, kind="stable")
         who = (row[order] + a).astype(np.int32)
@@ -193,5 +229,7 @@ def search(
             o = np.argpartition(-all_s, keep - 1, axis=1)[:, :keep]
             best_s[q] = np.take_along_axis(all_s, o, 1)
             best_i[q] = np.take_along_axis(all_i, o, 1)
+    if crowded:
+        _scan(x, np.concatenate(crowded), best_i, best_s)
     best_i[best_s <= -2.0] = -1
     return best_i, best_s

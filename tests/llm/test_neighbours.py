@@ -84,3 +84,18 @@ def test_search_finds_all_when_it_looks_everywhere():
     full = x @ x.T
     np.fill_diagonal(full, -9)
     assert np.allclose(np.sort(s, 1), np.sort(full, 1)[:, -5:], atol=1e-5)
+
+
+def crowd(n, dim, seed, noise=0.02):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=dim) / np.sqrt(dim) + noise * r.normal(size=(n, dim))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_rows_beyond_the_cap_are_scored_exactly():
+    x = np.concatenate([crowd(3000, 64, 5), clusters(500, 64, 20, 6)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, s = k.search(x, 5, trees=3, leaf_size=32, least=4, most=12, reach=0.055)
+    full = x @ x.T
+    np.fill_diagonal(full, -9)
+    assert np.allclose(np.sort(s[:3000], 1), np.sort(full[:3000], 1)[:, -5:], atol=1e-5)
