@@ -3,10 +3,10 @@
 1. Equal vectors become one class with its six smallest ids (a partial top-k before the
    shuffle, so a class that holds a third of all rows sends six rows per task).
 2. A tree fitted on a bounded sample cuts the space into cells of about ``cell_rows``
-   classes; a class enters the ``copies`` cells that come first in its order of priority,
-   its own one and the next across the hyperplane it is closest to.
-3. Inside a cell a forest is searched through one priority queue shared by its trees, and
-   the best candidates are scored again in double precision from the original numbers.
+   classes; a class enters its own cell and every other one whose priority is above
+   ``-near``, that is, all cells it lies close to, however many cells there are.
+3. Inside a cell a forest is searched through one priority queue shared by its trees, rows
+   of crowds are scored against the whole cell, and the best candidates are scored again in double precision from the original numbers.
 4. The lists of a class from all its cells are merged, and every id gets its class's list
    by an equi-join.
 
@@ -80,7 +80,7 @@ def _valid(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest_pairs(
     vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "embeddings", k: int = 5, min_cosine: float = 0.82, dim: int = 128,
-    cell_rows: int = 48_000, max_cells: int = 4096, sample_rows: int = 20_000, copies: int = 2,
+    cell_rows: int = 48_000, max_cells: int = 4096, sample_rows: int = 20_000, near: float = 0.03,
     trees: int = 3, leaf_rows: int = 256, least: int = 6, most: int = 56, reach: float = 0.055,
 ) -> DataFrame:
     """(id_a, id_b, cosine), id_a < id_b: one is among the k nearest of the other, at least ``min_cosine``."""
@@ -93,7 +93,7 @@ def nearest_pairs(
 
     # --- the tree over cells, from a bounded sample
     total = base.count()
-    n_cells = max(copies, min(max_cells, round(total / cell_rows)))
+    n_cells = max(2, min(max_cells, round(total / cell_rows)))
     share = min(1.0, 1.2 * sample_rows / max(total, 1))
     buckets = 1 << 20
     chosen = base.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) < max(1, int(share * buckets)))
@@ -146,9 +146,9 @@ def nearest_pairs(
                 who, cell = [], []
                 for a in range(0, b.num_rows, 2000):
                     x = _unit32(_matrix(b.column(2).slice(a, 2000), dim))
-                    first = np.argsort(-kernel.priorities(t, x), axis=1)[:, :copies]
-                    who.append(np.repeat(np.arange(a, a + len(x)), first.shape[1]))
-                    cell.append(first.ravel())
+                    r, c = kernel.close_leaves(t, x, near)
+                    who.append(r + a)
+                    cell.append(c)
                 who, cell = np.concatenate(who), np.concatenate(cell)
             taken = b.take(pa.array(who))
             yield pa.record_batch([pa.array(cell.astype(np.int32)), *taken.columns], names=["cell", "key", "ids", "v"])

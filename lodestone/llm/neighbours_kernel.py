@@ -140,6 +140,14 @@ def priorities(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def close_leaves(tree: Tree, x: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and leaves, one entry for a row's own leaf and for each whose priority is at least ``-near``."""
+    p = priorities(tree, x)
+    close = p >= -near
+    close[np.arange(len(x)), p.argmax(1)] = True
+    return np.nonzero(close)
+
+
 def _scan(x: np.ndarray, asking: np.ndarray, best_i: np.ndarray, best_s: np.ndarray, rows: int = 512, width: int = 8192) -> None:
     """Score the asking rows against all rows of x, in blocks; best_i and best_s get their exact best.
 

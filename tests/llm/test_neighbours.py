@@ -99,3 +99,11 @@ def test_rows_beyond_the_cap_are_scored_exactly():
     full = x @ x.T
     np.fill_diagonal(full, -9)
     assert np.allclose(np.sort(s[:3000], 1), np.sort(full[:3000], 1)[:, -5:], atol=1e-5)
+
+
+def test_recall_of_a_crowd_over_many_cells(spark):
+    x = np.concatenate([crowd(3000, 16, 8), clusters(3000, 16, 40, 9)])
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    want = {p for p in brute(rows) if p[1] < 3000}
+    got = run(spark, rows, cell_rows=150, sample_rows=6000)
+    assert len(got & want) >= 0.95 * len(want)
