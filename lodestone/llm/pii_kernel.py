@@ -37,7 +37,6 @@ _PHONE = re.compile(
     r"|0\d{2,5}[ /]\d{3,8}(?:[ -]\d{2,6})?"  # national with trunk zero
     r")" + _EXT + r"(?![\w]|[.-]\d)", re.I
 )
-_PHONE_HINT = re.compile(r"\d{3}[ .-]\d{3,4}|\+\d{6}|\+\d{1,3}[ /-]|\d{4,5} \d{5}|\) \d{3}")
 
 # ------------------------------------------------------------------ numbers of documents
 
@@ -53,11 +52,8 @@ _LABELLED = re.compile(
     r"(?i:\s*(?:no\.?|nr\.?|number|num\.?|nummer|id|n°|numéro|número|card|code|#)(?![a-z]))*\s*(?:is|ist|est|es)?\s*[:=#]?\s*"
     r"([A-Z]{1,3}\d{5,10}|\d{1,4}(?:[ -]\d{2,5}){1,5}|\d{5,14}|[A-Z]\d[A-Z]\d{2}[A-Z]\d{3,6}[A-Z]?|[A-Z]{1,3}-\d{2,4}-\d{2,4}(?:-[A-Z0-9]{1,3})?|\d{5,9}[A-Z])(?![\w])"
 )
-_LABELS = (
-    "assport", "PASSPORT", "Reisepass", "usweis", "asaporte", "ecurity number", "ocial security", "SSN", "ssn", "NINO", "ax ID", "ax id", "TIN", "teuer", "fiscal", "NIF", "icense", "icence",
-    "ührerschein", "conduire", "tudent ID", "tudent id", "tudent number", "atriculation", "atrikel", "nrolment", "nrollment", "étudiant", "ational ID", "ational id", "dentity card", "ID card", "DNI", "NIE", "identité",
-    "insurance", "ersicherungs", "sociale",
-)
+#: What every number of _LABELLED with its five digits has (labels come in any case, so none is asked for).
+_FIVE_DIGITS = re.compile(r"\d(?:[ -]?\d){4}|\d[A-Z]\d{2}[A-Z]\d{3}")
 _LICENCE = re.compile(r"(?<![\w-])DL-\d{3}-\d{3}-[A-Z](?![\w-])")
 
 # ------------------------------------------------------------------ address
@@ -71,10 +67,10 @@ _POST = r"(?:[A-Z]{1,2}-)?\d{4,5}(?:-\d{4})?|[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}"
 _TAIL_EN = rf"(?:,? {_UNIT})?(?:, (?:(?:{_POST}) )?{_TOWN}(?:,? [A-Z]{{2}})?(?: (?:{_POST}))?(?![\w]))?"
 #: Forms of addresses, each tried only where one of its fixed words occurs.
 _ADDRESSES = (
-    (("Street", "St.", "Lane", "Ln", "Ave", "Road", "Rd", "Close", "Drive", "Dr.", "Boulevard", "Blvd", "Court", "Place", "Square", "Terrace", "Way", "Crescent", "Row", "Walk", "Gardens", "Mews", "Parkway", "Highway", "Hill"), re.compile(rf"(?<![\w.-]){_NO} (?:(?:North|South|East|West|Old|New|N\.?|S\.?|E\.?|W\.?) )?{_CAP}(?: {_CAP}){{0,2}}? {_STREET_EN}(?![\w]){_TAIL_EN}")),
+    (("St", "Lane", "Ln", "Ave", "Road", "Rd", "Close", "Dr", "Boulevard", "Blvd", "Court", "Ct", "Pl", "Sq", "Terrace", "Way", "Crescent", "Row", "Walk", "Gardens", "Mews", "Parkway", "Highway", "Hill"), re.compile(rf"(?<![\w.-]){_NO} (?:(?:North|South|East|West|Old|New|N\.?|S\.?|E\.?|W\.?) )?{_CAP}(?: {_CAP}){{0,2}}? {_STREET_EN}(?![\w]){_TAIL_EN}")),
     (("Box ",), re.compile(rf"(?<![\w-])P\. ?O\. ?Box \d{{1,6}}(?:, (?:(?:{_POST}) )?{_TOWN}(?: (?:{_POST}))?(?![\w]))?")),
     (("PO Box", "Postfach", "postale", "BP ", "Apartado", "Casilla"), re.compile(rf"(?<![\w-])(?:PO Box|Postfach|Boîte postale|BP|Apartado(?: de correos)?|Casilla) \d{{1,6}}(?:, (?:(?:{_POST}) )?{_TOWN}(?: (?:{_POST}))?(?![\w]))?")),
-    (("rue ", "avenue ", "boulevard ", "place ", "chemin ", "impasse ", "allée ", "quai ", "route ", "cours ", "passage ", "square "), re.compile(rf"(?<![\w.-])\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|cours|passage|square)(?: (?:du|de|des|de la|de l['’]|la|le|les|d['’]|l['’]))*[ ]?{_CAP}(?:[ -](?:de |du |des |la |le )?{_CAP}){{0,3}}(?:, (?:(?:{_POST}) )?{_TOWN}(?![\w]))?")),
+    (("rue", "avenue", "boulevard", "place", "chemin", "impasse", "allée", "quai", "route", "cours", "passage", "square"), re.compile(rf"(?<![\w.-])\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|cours|passage|square)(?: (?:du|de|des|de la|de l['’]|la|le|les|d['’]|l['’]))*[ ]?{_CAP}(?:[ -](?:de |du |des |la |le )?{_CAP}){{0,3}}(?:, (?:(?:{_POST}) )?{_TOWN}(?![\w]))?")),
     (("Calle", "Avenida", "Avda", "Plaza", "Paseo", "Camino", "Ronda", "Carrera", "C/"), re.compile(rf"(?<![\w-])(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|Carrera|C/)(?: (?:de|del|la|las|los|el))* ?{_CAP}(?: (?:(?:de|del|la|las|los|el) )*{_CAP}){{0,3}},? \d{{1,4}}(?:, \d{{1,2}}[ºª°]\.? ?[A-Z]?(?![\w]))?(?:, (?:(?:{_POST}) )?{_TOWN}(?![\w]))?")),
     (("straße ", "strasse ", "str. ", "weg ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "steig ", "hof ", "graben "), re.compile(rf"(?<![\w-])[A-ZÄÖÜ][^\W\d_]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|hof|graben)(?: {_NO})(?:, (?:(?:{_POST}) )?{_TOWN}(?![\w]))?")),
     (("ul. ", "ulica ", "al. ", "os. "), re.compile(rf"(?<![\w-])(?:ul\.|ulica|al\.|os\.) {_CAP}(?: {_CAP})? \d{{1,4}}[a-zA-Z]?(?:/\d{{1,4}})?(?:, (?:\d{{2}}-\d{{3}} )?{_TOWN}(?![\w]))?")),
@@ -201,9 +197,9 @@ def _unquote(line: str) -> int:
     return i
 
 
-#: Words of which one must occur for a group of patterns to be tried.
+#: Words of which one must occur for a group of patterns to be tried; for labelled numbers, _FIVE_DIGITS.
 _GROUPS: tuple[tuple[str, ...], ...] = (
-    _AUTHOR_WORDS, _LABELS, ("[at]", "(at)", " AT ", "{at}", "<at>", "_at_", "(@)", "[@]", "(AT)", "[AT]"), ("DL-",),
+    _AUTHOR_WORDS, (), ("[at]", "(at)", "AT", "{at}", "<at>", "_at_", "(@)", "[@]"), ("DL-",),
     *(words for words, _ in _ADDRESSES), *(words for words, _ in _PHRASES),
 )
 _AUTHORS, _LABEL, _HIDE, _DL, _FIRST_ADDRESS = 0, 1, 2, 3, 4
@@ -217,10 +213,14 @@ except ImportError:  # the words are then looked for one by one
 
 def _word_finder():
     """Function from a text to a bit set of the groups of which a word occurs."""
+
+    def numbered(text: str) -> int:
+        return 1 << _LABEL if _FIVE_DIGITS.search(text) else 0
+
     if ahocorasick is None:
 
         def one_by_one(text: str) -> int:
-            return sum(1 << g for g, words in enumerate(_GROUPS) if any(w in text for w in words))
+            return numbered(text) | sum(1 << g for g, words in enumerate(_GROUPS) if any(w in text for w in words))
 
         return one_by_one
     bits: dict[str, int] = {}
@@ -233,7 +233,7 @@ def _word_finder():
     automaton.make_automaton()
 
     def at_once(text: str) -> int:
-        found = 0
+        found = numbered(text)
         for _, b in automaton.iter(text):
             found |= b
         return found
@@ -281,8 +281,6 @@ class Finder:
 
     @staticmethod
     def phones(text: str) -> list[tuple[int, int]]:
-        if not _PHONE_HINT.search(text):
-            return []
         out = []
         for m in _PHONE.finditer(text):
             digits = sum(c.isdigit() for c in m[0])

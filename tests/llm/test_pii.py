@@ -115,3 +115,13 @@ def test_clashing_surrogates(spark, monkeypatch):
     df = spark.createDataFrame([(1, "forum/1", text)], "chunk_id long, path string, text string")
     t = pii.scrub(df, mode="surrogate", key="k").first()["clean_text"]
     assert len(set(t.split("\n"))) == 40
+
+
+@pytest.mark.parametrize("kind,text,value", [
+    ("phone", "call {} now", "0049 30 1234567"), ("phone", "call {} now", "0221/4567890"), ("phone", "call {} now", "(030)1234567"), ("phone", "call {} now", "+49.30.1234567"),
+    *(("address", "It is at {}, come by.", f"12 Oak {w}") for w in ("St", "Dr", "Ct", "Pl", "Sq", "Ave", "Rd", "Ln", "Blvd")), ("address", "It is at {}.", "12 Main St, Boston"),
+    *(("id_number", label + " {} it is", "12345678") for label in ("Tax number", "Student no.", "Student-ID", "SIN", "DRIVING LICENCE", "sin", "tin", "Personalausweis", "CARTE D'IDENTITÉ", "PASSPORT", "Taxpayer ID", "National ID")),
+    ("email", "{}", "ann AT\ngrau DOT test"),
+])
+def test_gates_are_no_narrower_than_their_patterns(kind, text, value):
+    assert (kind, value) in items(text.format(value), False)
