@@ -83,9 +83,10 @@ def machine_files(chunks: DataFrame, path_col: str = "path", text_col: str = "te
     lines = F.greatest(F.col("n_code_lines"), F.lit(1))
     tokens = F.greatest(F.col("n_numeric") + F.col("n_words"), F.lit(1))
     enough = F.col("n_chars") >= 200
-    foreign = F.col("path").rlike("(?i)" + kernel._FOREIGN_DIR.pattern) | (F.col("banner_foreign") == 1)
+    headed = F.col("top") >= -kernel.HEAD_LINES  # without its top, a file's later comments prove nothing
+    foreign = F.col("path").rlike("(?i)" + kernel._FOREIGN_DIR.pattern) | (F.col("banner_foreign") == 1) | headed & (F.col("lead_foreign") > F.col("code"))
     generated = (
-        (F.col("banner_generated") == 1) | F.col("path").rlike("(?i)" + kernel._GENERATED_NAME.pattern)
+        (F.col("banner_generated") == 1) | headed & (F.col("lead_generated") > F.col("code")) | F.col("path").rlike("(?i)" + kernel._GENERATED_NAME.pattern)
         | (F.col("n_idiom") / lines >= _limit("idioms")) & (F.col("n_idiom") >= 3)
     )
     minified = enough & (F.col("n_space") / chars < _limit("space")) & (

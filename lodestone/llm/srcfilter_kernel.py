@@ -1,7 +1,8 @@
 """Pure-Python kernel of the hand-written-source filter: evidence of one chunk of a file.
 
 Layout statistics are additive (sums and maxima), so a file's chunks can be reduced in any
-order and partially before a shuffle.  Banners count only in the first lines of a file.
+order and partially before a shuffle.  Banners count in the first lines of a file and in
+its whole leading comment block, which may go on over several chunks.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ PROSE = frozenset(("md", "markdown", "rst", "txt", "adoc", "tex"))
 
 #: Additive evidence of a chunk, in the order ``features`` returns it.
 SUMS = ("n_chars", "n_lines", "n_code_lines", "n_space", "n_alnum", "n_digit", "n_numeric", "n_words", "n_encoded", "n_idiom", "n_long")
-MAXES = ("max_line", "max_run", "banner_generated", "banner_foreign")
+MAXES = ("max_line", "max_run", "banner_generated", "banner_foreign", "lead_generated", "lead_foreign", "code", "top")
 
+#: Lines are maxima with their sign changed, so that the first one of a file remains; NEVER: none.
+NEVER = -(1 << 40)
 HEAD_LINES = 12  # lines at the top of a file in which a banner may stand
 
 _COMMENT_LINE = re.compile(r"^\s*(?://|#|/\*|\*|<!--|--|;|%|\"\"\"|'''|@|$)")
@@ -90,10 +93,40 @@ def banners(text: str, line: int | None) -> tuple[int, int]:
     return int(bool(_GENERATED.search(top))), int(bool(_FOREIGN.search(top)))
 
 
+def leading(text: str, line: int | None) -> tuple[int, int, int]:
+    """Signed lines of the first generator and foreign statement in the comments the chunk begins with, and of its first code.
+
+    A statement belongs to the leading block of the file if no chunk has code before it and the top of the file is there.
+    """
+    at = max(line or 1, 1)
+    close = text.find("*/")
+    inside = at > 1 and 0 <= close and text.find("/*", 0, close) < 0  # the chunk begins within a comment
+    head: list[str] = []
+    code = NEVER
+    for n, raw in enumerate(text.split("\n")):
+        if inside or _COMMENT_LINE.match(raw):
+            s = raw.strip()
+            head.append(s)
+            if "/*" in s:
+                inside = True
+            if "*/" in s:
+                inside = False
+        else:
+            code = -(at + n)
+            break
+    top = "\n".join(head)
+
+    def first(pattern: re.Pattern) -> int:
+        m = pattern.search(top) if top else None
+        return -(at + top.count("\n", 0, m.start())) if m else NEVER
+
+    return first(_GENERATED), first(_FOREIGN), code
+
+
 def features(text: str | None, line: int | None) -> tuple[int, ...]:
     """Sums, then maxima, of one chunk."""
     if not text:
-        return (0,) * (len(SUMS) + len(MAXES))
+        return (0,) * (len(SUMS) + len(MAXES) - 4) + (NEVER, NEVER, -max(line or 1, 1), NEVER)  # unseen text may be code
     lines = text.split("\n")
     lengths = [len(x) for x in lines]
     compact = "".join(text.split())
@@ -112,5 +145,5 @@ def features(text: str | None, line: int | None) -> tuple[int, ...]:
     gen, foreign = banners(text, line)
     return (
         len(text), len(lines), filled, len(text) - len(compact), alnum, digits, numeric, words, encoded, len(_IDIOM.findall(text)), sum(1 for n in lengths if n > 500),
-        max(lengths), run, gen, foreign,
+        max(lengths), run, gen, foreign, *leading(text, line), -max(line or 1, 1),
     )

@@ -49,3 +49,17 @@ def test_evidence_is_additive(spark):
     one = srcfilter.file_evidence(df).first()
     f = dict(zip(k.SUMS + k.MAXES, k.features(HAND, 1)))
     assert one["n_chars"] == 50 * f["n_chars"] and one["max_line"] == f["max_line"]
+
+
+def test_statement_in_a_long_leading_comment(spark):
+    licence = "\n".join(f" * line {i} of some terms" for i in range(30))
+    banner = " * This file was generated by makewrap 3.1"
+    rows = [
+        ("a.c", 1, f"/*\n{licence}\n{banner}\n */\nint x;"),
+        ("b.c", 1, f"/*\n{licence}"), ("b.c", 32, f"{banner}\n */\nint x;"),
+        ("c.c", 1, None), ("c.c", 40, f"/*\n{banner}\n */\nint x;"),  # what stands before it is unknown
+        ("d.c", 1, "int y;\n" * 39), ("d.c", 40, f"/*\n{banner}\n */\nint x;"),  # code stands before it
+        ("e.c", 1, f"/*\n{licence}\n */\nint x;"),
+    ]
+    df = spark.createDataFrame(rows, "path string, line int, text string")
+    assert {r["path"] for r in srcfilter.machine_files(df).collect()} == {"a.c", "b.c"}
