@@ -81,9 +81,9 @@ def pack(
                     if n <= c:
                         parts = [(i, 0, n)]
                     else:
-                        parts = [(i, k, m) for k, (_, _, m) in enumerate(splitting_kernel.split_text(t, c, 0, sizes))]
+                        parts = [(i, k, m) for k, (_, _, m) in enumerate(splitting_kernel.split_fitting(t, c, sizes))]
                     for item in parts:
-                        leave(c, packer.put(min(item[2], c), [item]), True)
+                        leave(c, packer.put(item[2], [item]), True)
             if len(out) > 20_000:
                 yield flush()
         for c, packer in packers.items():

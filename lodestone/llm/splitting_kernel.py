@@ -156,3 +156,16 @@ def split_text(text: str, limit: int, overlap: int, token_lengths: Callable[[str
         if worst <= 0 or room <= max(8, limit // 2):
             return pieces
         room -= worst
+
+
+def split_fitting(text: str, limit: int, token_lengths: Callable[[str], np.ndarray] | None) -> list[tuple[int, int, int]]:
+    """Like ``split_text`` without overlap, but a piece that is still too long by itself is cut again until it fits."""
+    out = []
+    for a, b, n in split_text(text, limit, 0, token_lengths):
+        if n <= limit:
+            out.append((a, b, n))
+        elif b - a < len(text):
+            out += [(a + x, a + y, m) for x, y, m in split_fitting(text[a:b], limit, token_lengths)]
+        else:
+            raise ValueError("a single character exceeds the limit")
+    return out

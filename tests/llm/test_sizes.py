@@ -163,3 +163,13 @@ def test_mix_limits(spark):
     assert more["b"]["tokens"] == 30 and abs(more["a"]["tokens"] - 500) <= 10
     assert mixing.draw(docs.limit(0), targets, "bytes").count() == 0
     assert mixing.share_report(mixing.draw(docs.limit(0), targets, "bytes"), targets).count() == 2
+
+
+def test_pieces_that_retokenise_longer_are_cut_again():
+    def lengths(t):  # short stretches have more tokens
+        return np.diff(np.linspace(0, len(t), 1 + (len(t) if len(t) < 150 else 90 if len(t) < 300 else len(t) // 4)).astype(np.int64))
+
+    text = "word and more " * 60
+    pieces = sk.split_fitting(text, 60, lengths)
+    assert max(n for _, _, n in sk.split_text(text, 60, 0, lengths)) > 60 >= max(n for _, _, n in pieces)
+    assert "".join(text[a:b] for a, b, _ in pieces) == text and all(n == len(lengths(text[a:b])) for a, b, n in pieces)
