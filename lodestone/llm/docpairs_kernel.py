@@ -34,6 +34,7 @@ class Function:
     end: int  # last line
     anchor: int  # line above which a comment has to end
     params: list[str] = field(default_factory=list)
+    body: int = -1  # line on which the body opens
 
 
 @dataclass
@@ -41,7 +42,7 @@ class Comment:
     start: int
     end: int
     text: str
-    kind: str  # "line", "block" or "docstring"
+    kind: str  # "line", "block", "docstring" or "trailing" (behind code)
     owner: int = -1  # docstrings: index of the function they sit in
 
 
@@ -82,7 +83,9 @@ def _strip_c(text: str) -> tuple[str, list[Comment]]:
             alone = not text[text.rfind("\n", 0, a) + 1 : a].strip()
             last = first + text.count("\n", a, b)
             tail = text[b : (e if (e := text.find("\n", b)) >= 0 else len(text))]
-            if alone and not (head == "/*" and tail.strip()):
+            if not alone:
+                comments.append(Comment(first, last, text[a:b], "trailing"))
+            elif not (head == "/*" and tail.strip()):
                 comments.append(Comment(first, last, text[a:b], "block" if head == "/*" else "line"))
         out.append(text[pos:a])
         out.append(_blank(text[a:b]))
@@ -166,7 +169,7 @@ def _c_functions(code: str) -> list[Function]:
         for part in re.split(r",(?![^<(]*[>)])", code[m.end() : close]):
             if p := _C_PARAM.search(part.strip()):
                 params.append(p[1])
-        found.append(Function(name, line_of(m.start()), line_of(end if end >= 0 else len(code)), anchor_line, params))
+        found.append(Function(name, line_of(m.start()), line_of(end if end >= 0 else len(code)), anchor_line, params, line_of(brace)))
         pos = brace + 1
     return found
 
@@ -185,9 +188,8 @@ def _strip_py(text: str) -> tuple[str, dict[int, tuple[int, str]], list[Comment]
         a = m.start()
         if m[0][0] == "#":
             b = m.end()
-            if not text[text.rfind("\n", 0, a) + 1 : a].strip():
-                n = text.count("\n", 0, a)
-                comments.append(Comment(n, n, text[a:b], "line"))
+            n = text.count("\n", 0, a)
+            comments.append(Comment(n, n, text[a:b], "trailing" if text[text.rfind("\n", 0, a) + 1 : a].strip() else "line"))
         elif m[1]:
             b = _close(text, m.end(), m[1])
             strings[a] = (b, text[m.end() : b - 3])
@@ -217,8 +219,9 @@ def _close(text: str, at: int, quote: str) -> int:
         at = e + 1
 
 
-def _py_functions(text: str) -> tuple[list[Function], list[Comment]]:
+def _py_functions(text: str) -> tuple[list[Function], list[Comment], list[str]]:
     code, strings, comments = _strip_py(text)
+    comments = _merge(comments)
     functions: list[Function] = []
     total = text.count("\n")
     for m in _PY_DEF.finditer(code):
@@ -242,7 +245,7 @@ def _py_functions(text: str) -> tuple[list[Function], list[Comment]]:
         above = code.split("\n")[:start]
         while anchor > 0 and above[anchor - 1].lstrip().startswith("@"):
             anchor -= 1
-        functions.append(Function(m[2], start, end, anchor, params))
+        functions.append(Function(m[2], start, end, anchor, params, code.count("\n", 0, colon.end())))
         # the docstring is the first statement of the body
         body = re.compile(r"[ \t]*(?:#[^\n]*)?(?:\s*\n)*[ \t]*").match(text, colon.end())
         at = body.end() if body else colon.end()
@@ -256,7 +259,7 @@ def _py_functions(text: str) -> tuple[list[Function], list[Comment]]:
             stop, content = strings[at]
             line = text.count("\n", 0, at)
             comments.append(Comment(line, line + text.count("\n", at, stop), content, "docstring", len(functions) - 1))
-    return functions, comments
+    return functions, comments, code.split("\n")
 
 
 # --------------------------------------------------------------------------- comment text
@@ -282,7 +285,8 @@ _PLACEHOLDER = re.compile(
 )
 _BANNER = re.compile(
     r"\bcopyright\b|\ball rights reserved\b|\blicen[cs]e[ds]?\b|\bSPDX-|\bauto-?generated\b|\bautomatically generated\b|\bgenerated by\b|"
-    r"\bdo not edit\b|\bproduced by\b.*\bfrom\b|\bmachine-made\b|\bvendored from\b|\bpermission to use\b|\bno warranty\b|\bpart of the simulation kit\b|"
+    r"\bdo not edit\b|\bproduced by\b.*\bfrom\b|\b(?:machine|tool|auto)[- ]?(?:made|generated|written|produced)\b|\bvendored from\b|\bpermission to use\b|\bno warranty\b|"
+    r"\bthis (?:file|source|program) is (?:part of|free software)\b|\bunder the terms (?:of|in)\b|"
     r"^\W*(?:authors?|maintainers?|questions|contact)\s*[:=]|^\W*(?:written|maintained|contributed) by\b", re.I
 )
 _CODE_LINE = re.compile(
@@ -359,34 +363,89 @@ def _merge(comments: list[Comment]) -> list[Comment]:
     return merged
 
 
-def _cost(f: Function, k: int, c: Comment, code_lines: list[str], python: bool) -> float | None:
-    """Cost of linking a comment to a function; None where the link is implausible."""
-    if c.kind == "docstring":
-        if c.owner != k:
-            return None
-        cost = 0.0
-    else:
-        if python or c.end >= f.anchor:
-            return None
-        gap = range(c.end + 1, f.anchor)
-        if any(not re.match(r"\s*(?:template\s*<|\[\[?\w|@\w|__attribute__|__declspec|extern\s+\"C\")", code_lines[i]) for i in gap):
-            return None
-        cost = 1.0 + 0.1 * len(gap)
+#: Costs of a link by the place of the comment; a link that costs more than REJECT is implausible.
+PLACE_COST = {"docstring": -1.2, "above": -1.0, "gap": 0.8, "inside": 0.9, "trailing": 1.0}
+DIRECT = ("docstring", "above")  # in touch with the definition
+LINE_COST = 0.15  # a line between a comment and its function
+TAG_COST = 0.5  # parameter tags that name none of the parameters
+NAME_GAIN = 0.2  # the comment names the function
+PARAM_GAIN = 0.2  # the comment names all parameters
+REJECT = 1.9
+_IDENTIFIER = re.compile(r"[^\W\d]\w*")
+_BETWEEN = re.compile(r"\s*(?:template\s*<|\[\[?\w|@\w|__attribute__|__declspec|extern\s+\"C\")")
+
+
+def _cost(f: Function, c: Comment, place: str, lines_between: int) -> float | None:
+    """Cost of linking a comment to a function; None where the link is implausible.
+
+    Far comments are rejected by their distance, and comments that are not in touch with the
+    function also by parameter tags of which none is a parameter.
+    """
+    cost = PLACE_COST[place] + LINE_COST * lines_between
     tags = {t for m in _TAG_PARAM.findall(c.text) for t in m if t}
     if tags:
-        overlap = len(tags & set(f.params)) / len(tags)
-        cost += 0.5 * (1 - overlap)
-    if f.name.lower() in c.text.lower():
-        cost -= 0.2
-    return cost
+        agree = len(tags & set(f.params)) / len(tags)
+        if not agree and place not in DIRECT:
+            return None
+        cost += TAG_COST * (1 - agree)
+    low = c.text.lower()
+    if f.name.lower() in low:
+        cost -= NAME_GAIN
+    if f.params:
+        words = set(_IDENTIFIER.findall(low))
+        cost -= PARAM_GAIN * sum(p.lower() in words for p in f.params) / len(f.params)
+    return cost if cost < REJECT else None
+
+
+def candidates(functions: list[Function], comments: list[Comment], code: list[str], python: bool) -> list[tuple[int, int, str, int]]:
+    """(function, comment, place, lines between) of all comments in reach of each function.
+
+    In reach are its docstring, every comment above it with no code between (attribute and
+    template lines are none), comments inside it in front of its first statement, and
+    comments behind the code of its signature.
+    """
+    by_end: dict[int, list[int]] = {}
+    by_start: dict[int, list[int]] = {}
+    trailing: dict[int, list[int]] = {}
+    found = []
+    for j, c in enumerate(comments):
+        if c.kind == "docstring":
+            found.append((c.owner, j, "docstring", 0))
+        elif c.kind == "trailing":
+            trailing.setdefault(c.start, []).append(j)
+        else:
+            by_end.setdefault(c.end, []).append(j)
+            by_start.setdefault(c.start, []).append(j)
+    farthest = int((REJECT + NAME_GAIN + PARAM_GAIN - PLACE_COST["gap"]) / LINE_COST) + 1  # beyond it every link costs more than REJECT
+    for k, f in enumerate(functions):
+        i, gap, place = f.anchor - 1, 0, "gap" if python else "above"
+        while i >= 0 and gap <= farthest:
+            if i in by_end:
+                for j in by_end[i]:
+                    found.append((k, j, place, gap))
+                    i = min(i, comments[j].start)
+                place = "gap"
+            elif not code[i].strip():
+                gap, place = gap + 1, "gap"
+            elif _BETWEEN.match(code[i]):
+                gap += 1
+            else:
+                break
+            i -= 1
+        for line in range(f.anchor, f.body + 1):
+            found += [(k, j, "trailing", 0) for j in trailing.get(line, ())]
+        i, gap = f.body + 1, 0
+        while i <= f.end and i < len(code) and not code[i].strip() and gap <= farthest:
+            found += [(k, j, "inside", gap) for j in by_start.get(i, ())]
+            i, gap = i + 1, gap + 1
+    return found
 
 
 def assign(costs: dict[tuple[int, int], float], n: int, m: int) -> dict[int, int]:
     """Cheapest maximum matching of functions to comments on a sparse bipartite graph.
 
     Successive shortest augmenting paths (Bellman-Ford on the residual graph): each
-    round adds one link and may re-route earlier ones, which is exact.  The graphs are
-    tiny: a comment is a candidate of the definitions it directly touches only.
+    round adds one link and may re-route earlier ones, which is exact.
     """
     left: dict[int, int] = {}
     right: dict[int, int] = {}
@@ -424,6 +483,43 @@ def assign(costs: dict[tuple[int, int], float], n: int, m: int) -> dict[int, int
     return left
 
 
+def links(costs: dict[tuple[int, int], float]) -> dict[int, int]:
+    """Cheapest one-to-one links of functions to comments, where staying alone costs REJECT.
+
+    The graph falls apart into small components, each of which is solved by itself; a function
+    and a comment that have only each other need no search.
+    """
+    of_left: dict[int, list[int]] = {}
+    of_right: dict[int, list[int]] = {}
+    for i, j in costs:
+        of_left.setdefault(i, []).append(j)
+        of_right.setdefault(j, []).append(i)
+    out: dict[int, int] = {}
+    done: set[int] = set()
+    for first in of_left:
+        if first in done:
+            continue
+        rows, columns, stack = [], set(), [first]
+        done.add(first)
+        while stack:
+            i = stack.pop()
+            rows.append(i)
+            for j in of_left[i]:
+                if j not in columns:
+                    columns.add(j)
+                    for o in of_right[j]:
+                        if o not in done:
+                            done.add(o)
+                            stack.append(o)
+        if len(rows) == len(columns) == 1:
+            out[first] = of_left[first][0]
+            continue
+        part = {(i, j): costs[(i, j)] for i in rows for j in of_left[i]}
+        part |= {(i, -1 - i): REJECT for i in rows}  # a place of its own for a function that stays alone
+        out |= {i: j for i, j in assign(part, len(rows), len(columns) + len(rows)).items() if j >= 0}
+    return out
+
+
 @dataclass
 class Pair:
     name: str
@@ -431,6 +527,8 @@ class Pair:
     end: int
     text: str
     code: str
+    place: str  # where the comment stands
+    rivals: int  # further comments that were plausible for the function
 
 
 def extension(path: str | None) -> str:
@@ -440,8 +538,11 @@ def extension(path: str | None) -> str:
     return base.rsplit(".", 1)[-1].lower() if "." in base else ""
 
 
-def pairs(path: str | None, text: str | None, min_words: int = MIN_NEW_WORDS) -> list[Pair]:
-    """All documented functions of one chunk, in order of their first line."""
+def pairs(path: str | None, text: str | None, min_words: int = MIN_NEW_WORDS, direct_only: bool = True) -> list[Pair]:
+    """All documented functions of one chunk, in order of their first line.
+
+    All comments in reach compete; ``direct_only`` then keeps the links in touch with their function.
+    """
     family = FAMILY_BY_EXT.get(extension(path))
     if not family or not text or "(" not in text:
         return []
@@ -449,40 +550,37 @@ def pairs(path: str | None, text: str | None, min_words: int = MIN_NEW_WORDS) ->
     if family == "py":
         if "def" not in text:
             return []
-        functions, comments = _py_functions(text)
-        lines = text.split("\n")
+        functions, comments, code = _py_functions(text)
     else:
         if "{" not in text or "/" not in text:
             return []
-        code, comments = _strip_c(text)
+        blanked, comments = _strip_c(text)
         comments = _merge(comments)
         if not comments:
             return []
-        functions = _c_functions(code)
-        lines = code.split("\n")
+        functions = _c_functions(blanked)
+        code = blanked.split("\n")
     if not functions or not comments:
         return []
-    costs = {}
-    if family == "py":
-        for j, c in enumerate(comments):
-            if c.kind == "docstring" and (w := _cost(functions[c.owner], c.owner, c, lines, True)) is not None:
-                costs[(c.owner, j)] = w
-    else:
-        by_end = {c.end: j for j, c in enumerate(comments)}
-        for k, f in enumerate(functions):
-            i = f.anchor - 1
-            while i >= 0 and i not in by_end and lines[i].strip():
-                i -= 1
-            if i in by_end and (w := _cost(f, k, comments[by_end[i]], lines, False)) is not None:
-                costs[(k, by_end[i])] = w
+    costs: dict[tuple[int, int], float] = {}
+    place_of: dict[tuple[int, int], str] = {}
+    described: dict[int, str] = {}
+    for k, j, place, between in candidates(functions, comments, code, family == "py"):
+        if j not in described:
+            described[j] = description(comments[j])
+        if is_informative(described[j], functions[k].name, min_words) and (w := _cost(functions[k], comments[j], place, between)) is not None:
+            if w < costs.get((k, j), REJECT):
+                costs[(k, j)], place_of[(k, j)] = w, place
     if not costs:
         return []
-    links = assign(costs, len(functions), len(comments))
+    degree: dict[int, int] = {}
+    for k, _ in costs:
+        degree[k] = degree.get(k, 0) + 1
     source = text.split("\n")
     out = []
-    for k, j in sorted(links.items(), key=lambda x: (functions[x[0]].start, x[0])):
+    for k, j in sorted(links(costs).items(), key=lambda x: (functions[x[0]].start, x[0])):
         f = functions[k]
-        doc = description(comments[j])
-        if is_informative(doc, f.name, min_words):
-            out.append(Pair(f.name, f.start, f.end, doc, "\n".join(source[f.start : f.end + 1])))
+        if direct_only and place_of[(k, j)] not in DIRECT:
+            continue
+        out.append(Pair(f.name, f.start, f.end, described[j], "\n".join(source[f.start : f.end + 1]), place_of[(k, j)], degree[k] - 1))
     return out

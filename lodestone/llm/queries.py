@@ -23,6 +23,10 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.document_pairs(_t(spark, sf_dir, "meta"))
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.link_report(docpairs.document_pairs(_t(spark, sf_dir, "meta"), direct_only=False))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srcfilter.machine_files(_t(spark, sf_dir, "meta")).select("path")
 
@@ -85,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pairs, p2_found, p2_reasons, p3_found, p4_found, p4_placeholders, p4_surrogates, p5_found, p5_newly_written,
+            p1_found, p1_pairs, p1_links, p2_found, p2_reasons, p3_found, p4_found, p4_placeholders, p4_surrogates, p5_found, p5_newly_written,
             p6_packed, p6_fill, p7_drawn, p7_shares, p8_found, p8_pieces,
         )
     }

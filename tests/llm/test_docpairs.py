@@ -107,6 +107,52 @@ def test_assignment_is_optimal():
         assert (len(got), sum(costs[x] for x in got.items())) == best
 
 
+OTHER = "Moves the wheel until the whole axle has come to rest again."
+
+
+def test_assignment_beats_the_nearest_comment():
+    code = f"// {OTHER}\n// @param alpha x\n\n// {GOOD}\n// @param beta x\nint f(int alpha) {{ return alpha; }} int g(int beta) {{ return beta; }}\n"
+    got = {p.name: (p.text, p.place, p.rivals) for p in k.pairs("a.cpp", code, direct_only=False)}
+    assert got == {"f": (OTHER, "gap", 1), "g": (GOOD, "above", 0)}  # greedy: f takes the nearest one, nothing plausible is left for g
+    assert names("a.cpp", code) == ["g"]
+
+
+def test_places():
+    code = f"// {GOOD}\n\nint far(int a) {{\n  return a;\n}}\nint in(int a) {{\n\n  // {OTHER}\n  return a;\n}}\nint end(int a) {{  // {GOOD}\n  return a;\n}}\n"
+    assert [(p.name, p.place) for p in k.pairs("a.c", code, direct_only=False)] == [("far", "gap"), ("in", "inside"), ("end", "trailing")]
+    python = f"# {GOOD}\ndef f(a):\n    # {OTHER}\n    return a\n"
+    assert [(p.place, p.rivals) for p in k.pairs("a.py", python, direct_only=False)] == [("gap", 1)] and names("a.py", python) == []
+    away = f"// {GOOD}" + "\n" * 12 + "int f(int a) { return a; }\n"
+    assert k.pairs("a.c", away, direct_only=False) == []  # too far
+    foreign = f"// {GOOD}\n// @param b x\n\nint f(int a) {{ return a; }}\n"
+    assert k.pairs("a.c", foreign, direct_only=False) == []  # tags of another function
+    assert k.pairs("a.c", foreign.replace("param b", "param a"), direct_only=False)[0].place == "gap"
+
+
+def test_links_are_cheapest():
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        n, m = r.randint(1, 5), r.randint(1, 5)
+        costs = {(i, j): r.randint(-12, 18) / 10 for i in range(n) for j in range(m) if r.random() < 0.5}
+        got = k.links(costs)
+        assert len(set(got.values())) == len(got)
+        best = min(
+            sum(0 if j is None else costs.get((i, j), 99) - k.REJECT for i, j in enumerate(choice))
+            for choice in itertools.product([None, *range(m)], repeat=n) if len(set(x for x in choice if x is not None)) == sum(x is not None for x in choice)
+        )
+        assert abs(sum(costs[x] - k.REJECT for x in got.items()) - best) < 1e-9
+
+
+def test_link_report(spark):
+    rows = [(1, "a.py", f'def f(a):\n    "{GOOD}"\n    # {OTHER}\n    return 1\n'), (2, "b.c", f"// {GOOD}\n\nint f(int a) {{ return a; }}\n")]
+    df = spark.createDataFrame(rows, "chunk_id long, path string, text string")
+    report = docpairs.link_report(docpairs.document_pairs(df, direct_only=False)).collect()
+    assert {(x["place"], x["pairs"], x["contested"]) for x in report} == {("docstring", 1, 0), ("gap", 1, 0)}
+    assert docpairs.document_pairs(df).count() == 1
+
+
 def test_frame(spark):
     schema = "chunk_id long, path string, text string, func_name string, code string"
     rows = [(1, "a.py", f'def f():\n    "{GOOD}"\n    return 1\n', "clash", "clash"), (1, "a.py", f'def f():\n    "{GOOD}"\n    return 1\n', "clash", "clash"), (2, None, None, None, None), (3, "b.md", "def", None, None)]
