@@ -140,8 +140,8 @@ def features(text: str | None, line: int | None) -> tuple[int, ...]:
             if any(c.isdigit() for c in m[0]):
                 encoded += n
                 run = max(run, n)
-    numeric = len(_NUMERIC.findall(text)) if digits * 12 > len(compact) else 0
-    words = len(_WORDY.findall(text)) if numeric else 0
+    numeric = len(_NUMERIC.findall(text)) if digits else 0
+    words = len(_WORDY.findall(text))
     gen, foreign = banners(text, line)
     return (
         len(text), len(lines), filled, len(text) - len(compact), alnum, digits, numeric, words, encoded, len(_IDIOM.findall(text)), sum(1 for n in lengths if n > 500),

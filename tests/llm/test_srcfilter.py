@@ -63,3 +63,17 @@ def test_statement_in_a_long_leading_comment(spark):
     ]
     df = spark.createDataFrame(rows, "path string, line int, text string")
     assert {r["path"] for r in srcfilter.machine_files(df).collect()} == {"a.c", "b.c"}
+
+
+def test_layout_alone(spark):
+    """Tables, dense text and long lines show a file in every language; copies of code do not."""
+    table = "static const short t[] = {\n" + "\n".join("  " + ", ".join(f"{i * 37 % 997 - 400:5d}" for i in range(n, n + 10)) + "," for n in range(0, 300, 10)) + "\n};\n"
+    proxy = "public class P {\n" + "\n".join(f"internal static object get{i}(P o){{return(o==null)?new object(null,System.IntPtr.Zero):o.native{i}(o,System.IntPtr.Zero,new object[]{{o}});}}" for i in range(9)) + "\n}\n"
+    rows = [(f"a/t.{e}", 1, table) for e in ("c", "cc", "cpp", "h", "hxx", "cs", "py")] + [("a/p.cs", 1, proxy), ("extern/x/a.c", 1, HAND), ("a/hand.c", 1, HAND)]
+    got = {r["path"]: (r["reason"], r["layout"]) for r in srcfilter.machine_files(spark.createDataFrame(rows, "path string, line int, text string")).collect()}
+    assert got == {**{p: ("data", True) for p, _, t in rows if t is table}, "a/p.cs": ("minified", True), "extern/x/a.c": ("foreign", False)}
+
+
+def test_literals_are_counted_in_prose_like_chunks():
+    f = dict(zip(k.SUMS + k.MAXES, k.features("one two three four five six 7 eight nine", 1)))
+    assert (f["n_numeric"], f["n_words"]) == (1, 8)
