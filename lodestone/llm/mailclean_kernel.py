@@ -126,11 +126,16 @@ _DISCLAIMER = re.compile(
     r"est confidentiel|sans accord préalable|seule personne nommée|destinataire|diffusion .{0,30}interdite|reçu ce message par erreur|"
     r"es confidencial|confidencial|uso exclusivo|destinatario|sin autorización|recibido este (?:mensaje|correo) por error)\b", re.I
 )
+_TARGET = rf"(?:group|list|forum|gruppe|liste|groupe|grupo|lista|newsletter|subscription|digest|{_MAIL}|https?://|www\.)"
 _FOOTER = re.compile(
-    r"^\s*(?:(?:you (?:get|got|received|are receiving) this (?:mail|message|e-?mail)|diese e-?mail kam|sie erhalten diese (?:e-?mail|nachricht)|vous recevez ce(?:t)? (?:message|e-?mail|courriel)|recibe este (?:mensaje|correo))\b.*|"
-    r"membership settings\b.*|(?:to|um)\s+(?:leave|unsubscribe|die gruppe zu verlassen|sich abzumelden)\b.*|unsubscribe\b.*|abmelden\b.*|se désabonner\b.*|pour (?:quitter|se désabonner)\b.*|para (?:salir|darse de baja)\b.*|"
-    r"(?:visit|view) (?:this|the) (?:group|discussion|list|topic)\b.*|for more options\b.*|.{0,40}\bmailing list\b.{0,40}|.{0,12}--~.*|[-~_=\s]*\S*\s*(?:discussion group|mailing list)\s*[-~_=]*.*|"
-    r".*\b(?:gruppenseite|group page|listinfo|list archive)\b.*|list (?:archive|info|help)\s*:.*)\s*$", re.I
+    rf"^\s*(?:(?:you (?:get|got|received|are receiving) this (?:mail|message|e-?mail)|diese e-?mail kam|sie erhalten diese (?:e-?mail|nachricht)|vous recevez ce(?:t)? (?:message|e-?mail|courriel)|recibe este (?:mensaje|correo))\b.*"
+    rf"|(?:your |change )?(?:membership|subscription|list|mailing) (?:settings|options|preferences)\b.*"
+    rf"|(?:to|um|pour|para)\s+(?:(?:leave|unsubscribe|quitter|salir|abandonar)\b|se désabonner\b|darse de baja\b|sich\b|die\b|diese\b).{{0,40}}{_TARGET}.*"
+    rf"|(?:unsubscribe|abmelden|se désabonner|darse de baja)\s*(?::|here\b|at\b|from\b.{{0,30}}{_TARGET}|{_MAIL}|<?https?://).*"
+    rf"|(?:visit|view|see) (?:this|the) (?:group|discussion|list|topic)(?: (?:at|on|page|archives?)\b.*|\s*:.*)"
+    rf"|for more options\b.{{0,60}}{_TARGET}.*"
+    rf"|[-~_=\s]*[\w.+-]+\s+(?:discussion group|mailing list)\s*(?:[-~_=|:–—]+[^.]*)?"
+    rf"|.{{0,12}}--~.*|list (?:archive|info|help)\s*:.*|.{{0,60}}\blistinfo/.*)\s*$", re.I
 )
 
 
@@ -202,26 +207,29 @@ def cut_lines(text: str | None) -> list[int]:
             i += 1
 
     # notes, disclaimers, footers: by paragraph, outside quotations
+    closing: set[int] = set()  # lines taken for a disclaimer or footer; true only where no own text follows
     for a, b in _paragraphs(blank, start, end):
         own = [k for k in range(a, b) if not gone[k]]
         if not own:
             continue
-        text_of = [lines[k] for k in own]
         for k in own:
-            if _NOTE.match(lines[k]) or _FOOTER.match(lines[k]):
+            if _NOTE.match(lines[k]):
                 gone[k] = True
-        if any(_DISCLAIMER.search(x) for x in text_of):
+            elif _FOOTER.match(lines[k]):
+                closing.add(k)
+        if any(_DISCLAIMER.search(lines[k]) for k in own):
             first = next(k for k in own if _DISCLAIMER.search(lines[k]) or _DISCLAIMER_HEAD.match(lines[k]))
             while first - 1 >= a and (_RULE.match(lines[first - 1]) or _DISCLAIMER_HEAD.match(lines[first - 1])) and not gone[first - 1]:
                 first -= 1
-            for k in own:
-                if k >= first:
-                    gone[k] = True
+            closing.update(k for k in own if k >= first)
+        for k in closing:
+            gone[k] = True
         for k in own:  # a rule or heading that leads a removed line
             if (_RULE.match(lines[k]) or _DISCLAIMER_HEAD.match(lines[k])) and not gone[k]:
                 nxt = next((x for x in range(k + 1, end) if not blank[x]), None)
                 if nxt is None or gone[nxt] and not quote[nxt]:
                     gone[k] = True
+                    closing.add(k)
 
     # signature
     for a, b in _paragraphs(blank, start, end):
@@ -240,6 +248,13 @@ def cut_lines(text: str | None) -> list[int]:
                 while e < end and not blank[e] and not gone[e]:
                     gone[e] = True
                     e += 1
+
+    # what the sender wrote below a seeming disclaimer or footer shows that it is none
+    if closing:
+        last = max((k for k in range(start, end) if not gone[k] and not blank[k]), default=-1)
+        for k in closing:
+            if k < last:
+                gone[k] = False
     return [i + 1 for i in range(start, n) if gone[i] and not blank[i]]
 
 

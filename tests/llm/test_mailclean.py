@@ -56,6 +56,22 @@ def test_tails(tail):
     assert gone(f"{OWN}\n\n{tail}") == tail.split("\n")
 
 
+@pytest.mark.parametrize("line", [
+    "I asked on the mailing list yesterday.", "To leave the contact unconstrained, call SetX.", "To unsubscribe the callback use Remove().", "Unsubscribe the observer before the next step.",
+    "Visit the discussion of contacts in the manual.", "For more options pass a second argument.", "See the mailing list for the rest of it.", "The list archive holds an older answer.",
+])
+def test_own_lines_that_look_like_footers(line):
+    assert gone(f"{OWN}\n{line}\n{OWN}") == [] and gone(f"{OWN}\n\n{line}\n\n{OWN}") == []
+    assert gone(f"{OWN}\n{line}") == []
+
+
+def test_disclaimers_stand_at_the_end():
+    own = "The geometry is confidential, so I only show a sketch."
+    assert gone(f"{own}\n{OWN}\n\nHere is the sketch I mean.") == []
+    tail = "Confidentiality notice:\nThis message is privileged and meant only for the addressee."
+    assert gone(f"{own}\n\nHere is the sketch.\n\n{tail}\n\n> quoted") == [*tail.split("\n"), "> quoted"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="> |abcAB:\n\r-_@.<", max_size=300))
 def test_any_text(text):
