@@ -18,6 +18,7 @@ order fall to the smaller id; an empty table gives no draws and a report of zero
 
 from __future__ import annotations
 
+import math
 import zlib
 
 from pyspark.sql import DataFrame, Window
@@ -28,7 +29,8 @@ from . import tokens
 from .common import need, spread
 
 MAX_TARGETS = 10_000
-BUCKET_ROWS = 200_000  # documents numbered by one task at most, on average
+BUCKET_ROWS = 200_000  # documents of a bucket, on average, if all were of one source and size class
+MAX_BITS = 20  # buckets of a source and size class: at most two to this power
 
 
 def _sizes(documents: DataFrame, vocabulary: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -57,17 +59,18 @@ def draw(
         raise ValueError("too many targets")
     sized = _sizes(documents, vocabulary, id_col, text_col, source_col).filter(F.col("source").isin([r[0] for r in listed]) & (F.col("n_tokens") > 0))
 
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 1)
     size_class = F.floor(F.log2(F.col("n_tokens").cast("double"))).cast("int")
-    coarse = F.pmod(key, F.lit(1 << 12)).cast("int")
-    stats_key = ["source", "size_class", "coarse"]
-    rows = sized.select("doc_id", "source", "n_tokens", key.alias("key"), size_class.alias("size_class"), coarse.alias("coarse"))
+    rows = sized.select("doc_id", "source", "n_tokens", key.alias("key"), size_class.alias("size_class"))
 
     # sizes are used three times; a checkpoint of ids and sizes in the shared folder spares counting again
     checkpoint_dir(spark)
     rows = rows.checkpoint()
 
-    # one row per bucket: at most sources x size classes x 4096, whatever the number of documents
+    # buckets are stretches of the order by key, so that their number, which grows with the rows, changes no draw
+    bits = min(MAX_BITS, math.ceil(math.log2(max(1.0, rows.count() / BUCKET_ROWS))))
+    stats_key = ["source", "size_class", "coarse"]
+    rows = rows.withColumn("coarse", F.shiftright("key", 63 - bits).cast("int"))
     buckets = rows.groupBy(*stats_key).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("size"))
     supply = {r[0]: (r[1], r[2]) for r in buckets.groupBy("source").agg(F.sum("size"), F.sum("docs")).collect()}
     usable = [(s, share, cap, supply[s][0]) for s, share, cap in listed if s in supply and share and share > 0 and cap and cap > 0]
