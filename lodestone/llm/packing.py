@@ -1,9 +1,9 @@
 """Items of varying size combined into containers of fixed capacity.
 
 Each input partition packs its own items online with a fixed number of open windows
-(best fit; the fullest window leaves when nothing fits).  Windows still open at the end
-of the partitions are merged, many partitions at a time, in a second pass over rows of
-ids and sizes only; texts are never shuffled.
+(best fit; the fullest window leaves when nothing fits), and a window that has left is final.
+Windows still open at the end of the partitions are merged, many partitions at a time, in a
+second pass over rows of ids and sizes only; texts and closed windows are never shuffled.
 
 An item is divided only if it exceeds the capacity by itself; its parts follow natural
 boundaries.  Defined results for odd input: NULL and empty texts have no size and are in
@@ -22,13 +22,17 @@ from pyspark.sql import functions as F
 
 from . import packing_kernel as kernel
 from . import splitting_kernel, tokens
+from ..runtime import checkpoint_dir
 from .common import need, spread
 
 MAX_CAPACITIES = 64
 FAN_IN = 64  # partitions whose open windows are merged by one task
 
 _ROWS = pa.schema(
-    [("capacity", pa.int32()), ("part", pa.int32()), ("seq", pa.int32()), ("closed", pa.bool_()), ("doc_id", pa.int64()), ("part_no", pa.int32()), ("n_tokens", pa.int32())]
+    [("capacity", pa.int32()), ("part", pa.int32()), ("seq", pa.int32()), ("closed", pa.bool_()), ("doc_id", pa.int64()), ("part_no", pa.int32()), ("n_tokens", pa.int32()), ("position", pa.int32())]
+)
+_CONTAINERS = pa.schema(
+    [("capacity", pa.int32()), ("container", pa.string()), ("doc_id", pa.int64()), ("part_no", pa.int32()), ("n_tokens", pa.int32()), ("position", pa.int32())]
 )
 _OUT = "capacity int, container string, doc_id bigint, part_no int, n_tokens int, position int"
 
@@ -66,7 +70,7 @@ def pack(
         def leave(capacity: int, window: kernel.Window | None, closed: bool) -> None:
             nonlocal seq
             if window is not None:
-                out.extend((capacity, part, seq, closed, *item) for item in window[1])
+                out.extend((capacity, part, seq, closed, *item, at) for at, item in enumerate(window[1]))
                 seq += 1
 
         def flush() -> pa.RecordBatch:
@@ -81,7 +85,7 @@ def pack(
                     if n <= c:
                         parts = [(i, 0, n)]
                     else:
-                        parts = [(i, k, m) for k, (_, _, m) in enumerate(splitting_kernel.split_fitting(t, c, sizes))]
+                        parts = [(i, k, m) for k, (_, _, m) in enumerate(splitting_kernel.split_text(t, c, 0, sizes))]
                     for item in parts:
                         leave(c, packer.put(item[2], [item]), True)
             if len(out) > 20_000:
@@ -92,29 +96,27 @@ def pack(
         if out:
             yield flush()
 
-    placed = work.mapInArrow(online, "capacity int, part int, seq int, closed boolean, doc_id bigint, part_no int, n_tokens int")
-    # closed windows keep to their partition's group, open ones meet those of FAN_IN partitions
-    group = F.when(F.col("closed"), F.col("part")).otherwise(-1 - F.floor(F.col("part") / FAN_IN)).cast("int")
+    # one row per part of a text, ids and sizes only; written once to the shared folder, so that texts are
+    # counted once and a container keeps its name when a task is repeated
+    checkpoint_dir(documents.sparkSession)
+    placed = work.mapInArrow(online, "capacity int, part int, seq int, closed boolean, doc_id bigint, part_no int, n_tokens int, position int").checkpoint()
+    final = placed.filter("closed").select("capacity", F.concat_ws("-", "capacity", "part", "seq").alias("container"), "doc_id", "part_no", "n_tokens", "position")
 
     def finish(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table[n].to_pylist() for n in ("capacity", "part", "seq", "closed", "doc_id", "part_no", "n_tokens"))))
-        rows.sort(key=lambda r: (r[1], r[2]))
+        rows = sorted(zip(*(table[n].to_pylist() for n in ("part", "seq", "position", "doc_id", "part_no", "n_tokens"))))
         windows: dict[tuple[int, int], list] = {}
         for r in rows:
-            windows.setdefault((r[1], r[2]), []).append(r[4:])
-        capacity = rows[0][0]
-        if rows[0][3]:
-            final = [(f"{capacity}-{p}-{s}", items) for (p, s), items in windows.items()]
-        else:
-            first = min(p for p, _ in windows) // FAN_IN
-            merged = kernel.merge(capacity, ((sum(x[2] for x in items), items) for items in windows.values()))
-            final = [(f"{capacity}-m{first}-{k}", items) for k, (_, items) in enumerate(merged)]
-        flat = [(capacity, name, *item, at) for name, items in final for at, item in enumerate(items)]
-        return pa.table([pa.array(c) for c in zip(*flat)], names=["capacity", "container", "doc_id", "part_no", "n_tokens", "position"]).cast(
-            pa.schema([("capacity", pa.int32()), ("container", pa.string()), ("doc_id", pa.int64()), ("part_no", pa.int32()), ("n_tokens", pa.int32()), ("position", pa.int32())])
-        )
-
-    return placed.withColumn("grp", group).groupBy("capacity", "grp").applyInArrow(finish, _OUT)
+            windows.setdefault(r[:2], []).append(r[3:])
+        capacity = table["capacity"][0].as_py()
+        merged = kernel.merge(capacity, ((sum(x[2] for x in items), items) for items in windows.values()))
+        first = min(p for p, _ in windows) // FAN_IN
+        flat = [(capacity, f"{capacity}-m{first}-{k}", *item, at) for k, (_, items) in enumerate(merged) for at, item in enumerate(items)]
+        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*flat), _CONTAINERS)], schema=_CONTAINERS)
+
+    # only windows that are still open meet, those of FAN_IN partitions in one task
+    group = F.floor(F.col("part") / FAN_IN).cast("int")
+    late = placed.filter("NOT closed").withColumn("grp", group).groupBy("capacity", "grp").applyInArrow(finish, _OUT)
+    return final.unionByName(late)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

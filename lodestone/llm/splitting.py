@@ -5,9 +5,9 @@ all others.  Cuts prefer paragraphs, then lines, sentences and words; a token is
 where no pause exists at all, and never inside a character.
 
 Defined results for odd input: NULL texts give no piece; empty texts and texts within the
-limit give one piece; repeated rows give repeated pieces; a limit below one token per
-character still advances by whole characters; extra columns are ignored; an empty table
-gives an empty result.
+limit give one piece; repeated rows give repeated pieces; a limit below four tokens (which
+one character may have) and an overlap that is no smaller than its limit are an error, found
+before any text is read; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +33,11 @@ def limits_of(limits: DataFrame, purpose: str = "cut") -> list[tuple[str | None,
     rows = limits.filter(F.col("purpose") == purpose).select("source", "max_tokens", "overlap_tokens").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError("too many limits")
-    return [(r[0], int(r[1]), int(r[2] or 0)) for r in rows]
+    found = [(r[0], int(r[1]), int(r[2] or 0)) for r in rows]
+    for source, most, overlap in found:
+        if most < kernel.LEAST_LIMIT or not 0 <= overlap < most:
+            raise ValueError(f"a limit of {most} tokens and an overlap of {overlap} for {source!r} cannot be kept")
+    return found
 
 
 def _by_source(rows: list[tuple[str | None, int, int]], pick: int) -> Column:

@@ -94,7 +94,6 @@ def cut(text: str, char_token: np.ndarray, limit: int, overlap: int) -> list[tup
     n_tokens = int(char_token[-1])
     if n_tokens <= limit:
         return [(0, n_tokens)]
-    overlap = max(0, min(overlap, limit // 2))
     places, strength = boundaries(text, char_token)
     succ = successors(places, strength, limit, overlap)
     path = reached(succ)
@@ -131,12 +130,20 @@ def char_tokens(text: str, lengths: np.ndarray | None) -> np.ndarray:
     return np.where(ends[i] == at, i, -1)
 
 
+LEAST_LIMIT = 4  # a character has at most four bytes and so at most four tokens
+
+
 def split_text(text: str, limit: int, overlap: int, token_lengths: Callable[[str], np.ndarray] | None) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of the pieces, in characters; every piece has at most ``limit`` tokens by itself.
 
-    Cut out of its surroundings a piece can have a few tokens more than the same stretch
-    had inside the text; then the text is cut again a little shorter.
+    Consecutive pieces share ``overlap`` tokens, counted inside the text and rounded up to a
+    whole character; they share fewer only where a character of several tokens leaves no room.
+    Cut out of its surroundings a piece can have a few tokens more than the same stretch had
+    inside the text; then the text is cut again a little shorter, until every piece fits (down
+    to single characters, which always do).
     """
+    if limit < LEAST_LIMIT or not 0 <= overlap < limit:
+        raise ValueError(f"a limit of {limit} tokens and an overlap of {overlap} cannot be kept")
     lengths = token_lengths(text) if token_lengths else None
     where = char_tokens(text, lengths)
     total = int(where[-1])
@@ -148,24 +155,11 @@ def split_text(text: str, limit: int, overlap: int, token_lengths: Callable[[str
     while True:
         pieces = []
         worst = 0
-        for s, e in cut(text, where, room, overlap):
+        for s, e in cut(text, where, room, min(overlap, room - 1)):
             a, b = char_of[s], char_of[e]
             n = len(token_lengths(text[a:b])) if token_lengths else e - s
             worst = max(worst, n - limit)
             pieces.append((a, b, n))
-        if worst <= 0 or room <= max(8, limit // 2):
+        if worst <= 0 or room == 1:
             return pieces
-        room -= worst
-
-
-def split_fitting(text: str, limit: int, token_lengths: Callable[[str], np.ndarray] | None) -> list[tuple[int, int, int]]:
-    """Like ``split_text`` without overlap, but a piece that is still too long by itself is cut again until it fits."""
-    out = []
-    for a, b, n in split_text(text, limit, 0, token_lengths):
-        if n <= limit:
-            out.append((a, b, n))
-        elif b - a < len(text):
-            out += [(a + x, a + y, m) for x, y, m in split_fitting(text[a:b], limit, token_lengths)]
-        else:
-            raise ValueError("a single character exceeds the limit")
-    return out
+        room = max(1, room - worst if worst < room // 4 else room * 3 // 4)

@@ -20,17 +20,20 @@ TEXT = st.text(alphabet=list("ab é轮.,;\n  😀"), max_size=400)
 
 
 @settings(max_examples=300, deadline=None)
-@given(TEXT, st.integers(4, 60), st.integers(0, 20))
+@given(TEXT, st.integers(4, 60), st.integers(0, 50))
 def test_pieces(text, limit, overlap):
+    if overlap >= limit:
+        with pytest.raises(ValueError):
+            sk.split_text(text, limit, overlap, None)
+        return
     pieces = sk.split_text(text, limit, overlap, None)
     size = lambda t: len(t.encode())
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     assert (len(pieces) > 1) == (size(text) > limit)
-    eff = min(overlap, limit // 2)
     for (a, b, n), (c, d, _) in zip(pieces, pieces[1:]):
         assert c <= b < d  # every piece adds text, nothing is lost
         shared = size(text[c:b])
-        assert eff <= shared <= eff + 3 or c == 0 or limit < eff + 8
+        assert overlap <= shared <= overlap + 3 or c == 0 or limit < overlap + 8
     for a, b, n in pieces:
         assert n == size(text[a:b]) <= limit
 
@@ -165,11 +168,30 @@ def test_mix_limits(spark):
     assert mixing.share_report(mixing.draw(docs.limit(0), targets, "bytes"), targets).count() == 2
 
 
-def test_pieces_that_retokenise_longer_are_cut_again():
-    def lengths(t):  # short stretches have more tokens
-        return np.diff(np.linspace(0, len(t), 1 + (len(t) if len(t) < 150 else 90 if len(t) < 300 else len(t) // 4)).astype(np.int64))
+def longer_alone(t):  # short stretches have more tokens
+    return np.diff(np.linspace(0, len(t), 1 + (len(t) if len(t) < 150 else 90 if len(t) < 300 else len(t) // 4)).astype(np.int64))
+
 
+@pytest.mark.parametrize("overlap", [0, 7, 30])
+def test_pieces_that_retokenise_longer_are_cut_again(overlap):
     text = "word and more " * 60
-    pieces = sk.split_fitting(text, 60, lengths)
-    assert max(n for _, _, n in sk.split_text(text, 60, 0, lengths)) > 60 >= max(n for _, _, n in pieces)
-    assert "".join(text[a:b] for a, b, _ in pieces) == text and all(n == len(lengths(text[a:b])) for a, b, n in pieces)
+    pieces = sk.split_text(text, 60, overlap, longer_alone)
+    assert max(n for _, _, n in pieces) <= 60 and all(n == len(longer_alone(text[a:b])) for a, b, n in pieces)
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(c <= b < d for (_, b, _), (c, d, _) in zip(pieces, pieces[1:]))
+    if not overlap:
+        assert "".join(text[a:b] for a, b, _ in pieces) == text
+
+
+def test_limits_are_checked(spark):
+    docs = spark.createDataFrame([(1, "x", "a")], "doc_id long, text string, source string")
+    for row in (("cut", "a", 10, 10), ("cut", "a", 3, 0), ("cut", "a", 10, -1)):
+        with pytest.raises(ValueError):
+            splitting.split_documents(docs, spark.createDataFrame([row], LIMITS), "bytes")
+
+
+def test_draw_does_not_depend_on_buckets(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * (5 + i * 7 % 40), "a" if i % 3 else "b") for i in range(3000)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 2)], TARGETS)
+    few = sorted(map(tuple, mixing.draw(docs, targets, "bytes").collect()))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    assert sorted(map(tuple, mixing.draw(docs, targets, "bytes").collect())) == few
