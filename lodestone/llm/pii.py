@@ -2,11 +2,9 @@
 
 ``find`` lists every item with its type and place.  ``scrub`` replaces items either by a
 placeholder of their type or by a keyed surrogate of the same type, gender ending, script
-and format.  Surrogates are a function of a key and the item, so the same item gets the
-same surrogate everywhere (coreference); of items that would share a surrogate all but the
-first move to another variant, found by one check over all distinct items (distinctness).
-The check is made once: that a new variant meets yet another item's surrogate is unlikely
-but not excluded.
+and format.  Surrogates are permutations of the units items are made of (``pii_surrogates``):
+different items get different surrogates, the same unit gets the same one everywhere, and
+``settle`` moves surrogates that are themselves units of the texts until none is left.
 
 Defined results for odd input: NULL, empty and blank texts have no items and stay as they
 are; overlapping candidates are settled in favour of the more certain type and the longer
@@ -17,15 +15,17 @@ by ``scrub``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pii_kernel as kernel
 from . import pii_surrogates as surrogates
-from ..runtime import ship
+from ..runtime import checkpoint_dir, ship
 from .common import arrow_rows, need, spread
 
+NUMBER_VARIANTS = 6
 MAX_DIRECTORY = 50_000  # names of the directory of members, shipped to every task
 
 SCHEMA = pa.schema(
@@ -77,42 +77,94 @@ def scrub(
     ship(chunks.sparkSession)
     if mode == "placeholder":
         names = directory_of(members)
+        finder: list[kernel.Finder] = []
 
         @F.pandas_udf("string")
-        def replace(paths, texts):
-            f = kernel.Finder(names)
+        def replace(paths: pd.Series, texts: pd.Series) -> pd.Series:
+            if not finder:  # once for a worker
+                finder.append(kernel.Finder(names))
+            f = finder[0]
             return texts.combine(paths, lambda t, p: surrogates.placeholders(t, f.spans(t, bool(p) and p.startswith("forum/"))) if isinstance(t, str) else None)
 
         return chunks.withColumn(out_col, replace(F.col(path_col), F.col(text_col)))
     if mode != "surrogate":
         raise ValueError("mode is placeholder or surrogate")
+    if not key:
+        raise ValueError("surrogates need a key")
 
     items = find(chunks, members, id_col, path_col, text_col)
-
-    def name_them(batch: list[tuple]) -> list[tuple]:
-        return [(i, a, b, k, v, c, surrogates.surrogate(k, c, key, 0)) for i, a, b, k, v in batch for c in (surrogates.canonical(k, v),)]
-
-    schema = pa.schema([*SCHEMA, ("entity", pa.string()), ("surrogate", pa.string())])
-    named = arrow_rows(items, name_them, schema)
-    # entities that would share a surrogate: all but the first of them get another variant
-    entities = named.select("pii_type", "entity", "surrogate").distinct()
-    shared = Window.partitionBy("pii_type", "surrogate").orderBy("entity")
-    clashing = (
-        entities.withColumn("n", F.row_number().over(shared)).filter(F.col("n") > 1).select("pii_type", "entity", F.col("n").cast("int").alias("variant"))
-    )
-    settled = named.join(clashing, ["pii_type", "entity"], "left")
-    by_chunk = settled.groupBy("chunk_id").agg(
-        F.collect_set(F.struct("start", "end", "pii_type", "pii_value", "entity", F.coalesce("variant", F.lit(0)).alias("variant"))).alias("items")
-    )
+    moved = settle(units_of(items), key).filter("variant > 0").select("kind", "value", "variant")
+    # where units were moved, their variants go along with the chunk; usually there are few
+    by_chunk = items.groupBy("chunk_id").agg(F.collect_set(F.struct("start", "end", "pii_type")).alias("__items"))
+    of_chunk = units_of(items, "chunk_id").join(moved, ["kind", "value"]).groupBy("chunk_id").agg(F.collect_set(F.struct("kind", "value", "variant")).alias("__moved"))
 
     @F.pandas_udf("string")
-    def write(texts, found):
-        def one(t, spans):
+    def write(texts: pd.Series, found: pd.Series, variants: pd.Series) -> pd.Series:
+        def one(t, spans, changed):
             if not isinstance(t, str) or spans is None:
                 return t
-            return surrogates.rewrite(t, [(s["start"], s["end"], s["pii_type"], s["pii_value"], s["entity"], s["variant"]) for s in spans], key)
+            writer = surrogates.Writer(key, {(m["kind"], m["value"]): m["variant"] for m in changed} if changed is not None else None)
+            return writer.text(t, [(s["start"], s["end"], s["pii_type"]) for s in spans])
+
+        return pd.Series([one(*row) for row in zip(texts, found, variants)], dtype=object)
+
+    extra = by_chunk.join(of_chunk, "chunk_id", "left").withColumnRenamed("chunk_id", "__id")
+    joined = chunks.join(extra, F.col(id_col).cast("bigint") == F.col("__id"), "left")
+    return joined.withColumn(out_col, write(F.col(text_col), F.col("__items"), F.col("__moved"))).drop("__id", "__items", "__moved")
+
+
+def units_of(items: DataFrame, *keep: str) -> DataFrame:
+    """Distinct (kind, value) of the units of items, with the columns to keep."""
+    schema = pa.schema([*((n, pa.int64()) for n in keep), ("kind", pa.string()), ("value", pa.string())])
+
+    def rows(batch: list[tuple]) -> list[tuple]:
+        return [(*r[2:], *u) for r in batch for u in surrogates.units(r[0], r[1])]
 
-        return texts.combine(found, one)
+    return arrow_rows(items.select("pii_type", "pii_value", *keep).distinct(), rows, schema).distinct()
 
-    joined = chunks.join(by_chunk.withColumnRenamed("chunk_id", "__id").withColumnRenamed("items", "__items"), F.col(id_col).cast("bigint") == F.col("__id"), "left")
-    return joined.withColumn(out_col, write(F.col(text_col), F.col("__items"))).drop("__id", "__items")
+
+def _made(key: str, kind: Column, value: Column, variant: Column) -> Column:
+    @F.pandas_udf("string")
+    def make(kinds: pd.Series, values: pd.Series, variants: pd.Series) -> pd.Series:
+        return pd.Series([surrogates.MAKERS[k](v, key, n) for k, v, n in zip(kinds, values, variants)], dtype=object)
+
+    return make(kind, value, variant)
+
+
+def settle(units: DataFrame, key: str) -> DataFrame:
+    """(kind, value, variant, surrogate) of all units: no two surrogates of a kind are equal, and none is a unit of the texts.
+
+    Variant 0 is a permutation, so only surrogates that are units themselves have to move.
+    Every round tries the next variant of those that are left, against all units and all
+    surrogates so far; only the first round has many rows.  Words grow with their variant, so
+    there is always a free one.  Numbers cannot grow: where the texts hold so many that
+    ``NUMBER_VARIANTS`` tries meet none that is free, a number keeps its variant 0, which is
+    still no other number's surrogate.  Tables are cut off by checkpoints in the shared folder.
+    """
+    checkpoint_dir(units.sparkSession)
+    made = lambda df, n: df.select("kind", "value", F.lit(n).alias("variant")).withColumn("surrogate", _made(key, F.col("kind"), F.col("value"), F.col("variant")))
+    first = made(units.select("kind", "value"), 0).checkpoint()
+    pending = first.join(first.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "value").checkpoint()
+    left, settled, variant = pending, None, 0
+    taken = first.select("kind", F.explode(F.array("value", "surrogate")).alias("surrogate"))
+    while not left.isEmpty():
+        variant += 1
+        if variant > NUMBER_VARIANTS:
+            left = left.filter(F.col("kind") == surrogates.WORD)
+        free = made(left, variant).join(taken, ["kind", "surrogate"], "left_anti")
+        if settled is not None:
+            free = free.join(settled, ["kind", "surrogate"], "left_anti")
+        one = Window.partitionBy("kind", "surrogate").orderBy("value")
+        chosen = free.withColumn("n", F.row_number().over(one)).filter("n = 1").select("kind", "value", "variant", "surrogate").checkpoint()
+        left = left.join(chosen, ["kind", "value"], "left_anti").checkpoint()
+        settled = chosen if settled is None else settled.unionByName(chosen)
+    if settled is None:
+        return first
+    return first.join(settled, ["kind", "value"], "left_anti").unionByName(settled.select(*first.columns))
+
+
+def surrogate_report(chunks: DataFrame, members: DataFrame | None, key: str) -> DataFrame:
+    """(kind, units, surrogates, met): distinct units and surrogates of each kind, and surrogates that are units of the texts."""
+    s = settle(units_of(find(chunks, members)), key).checkpoint()
+    met = s.join(s.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").groupBy("kind").agg(F.count("*").alias("met"))
+    return s.groupBy("kind").agg(F.count("*").alias("units"), F.countDistinct("surrogate").alias("surrogates")).join(met, "kind", "left").fillna(0, ["met"])

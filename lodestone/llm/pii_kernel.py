@@ -253,7 +253,7 @@ class Finder:
         self.known: dict[str, set[str]] = {}
         for d in directory or ():
             d = " ".join(w.title() if w.isupper() and len(w.strip(".,")) > 1 else w for w in (d or "").split())
-            if len(d) < 5 or " " not in d:
+            if " " not in d or not any(len(w) > 1 for w in re.split(r"[ .,]+", d)):  # initials alone name no one
                 continue
             forms = {d}
             if "," in d:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import docpairs, mailclean, mixing, neighbours, packing, pii, splitting, srcfilter
 
-SURROGATE_KEY = "lodestone"
+#: Key of the surrogates; without one in the environment each run has its own.
+SURROGATE_KEY = os.environ.get("LODESTONE_SURROGATE_KEY") or secrets.token_hex(16)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +56,10 @@ def p4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scrub(_t(spark, sf_dir, "meta"), _t(spark, sf_dir, "members"), mode="surrogate", key=SURROGATE_KEY).select("chunk_id", "clean_text")
 
 
+def p4_surrogate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogate_report(_t(spark, sf_dir, "meta"), _t(spark, sf_dir, "members"), SURROGATE_KEY)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mailclean.removed_lines(_t(spark, sf_dir, "meta")).distinct()
 
@@ -134,7 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pairs, p1_links, p2_found, p2_reasons, p3_found, p4_found, p4_placeholders, p4_surrogates, p5_found, p5_newly_written,
+            p1_found, p1_pairs, p1_links, p2_found, p2_reasons, p3_found, p4_found, p4_placeholders, p4_surrogates, p4_surrogate_report, p5_found, p5_newly_written,
             p6_packed, p6_fill, p6_bytes, p7_drawn, p7_shares, p7_bytes, p8_found, p8_pieces, p8_bytes,
         )
     }
