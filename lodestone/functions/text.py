@@ -67,22 +67,22 @@ def looks_like_injection(c: Column) -> Column:
     return F.coalesce(c.rlike(pattern("|".join(f"(?:{p})" for p in V.INJECTION_PATTERNS), "i")), F.lit(False))
 
 
-def is_python_chunk(language: Column, path: Column) -> Column:
+def is_python_chunk(language: Column, path: Column, profile: V.Profile = V.GENERAL) -> Column:
     low = F.lower(F.coalesce(path, F.lit("")))
     found = F.coalesce(language, F.lit("")) == "py"
-    for word in V.PYTHON_PATH_WORDS:
+    for word in profile.python_path_words:
         found = found | low.contains(word)
     return found
 
 
-def is_forum_chunk(language: Column, source: Column) -> Column:
-    return (F.coalesce(language, F.lit("")) == "forum") | (F.coalesce(source, F.lit("")) == V.FORUM_SOURCE)
+def is_forum_chunk(language: Column, source: Column, profile: V.Profile = V.GENERAL) -> Column:
+    return (F.coalesce(language, F.lit("")) == "forum") | (F.coalesce(source, F.lit("")) == profile.forum_source)
 
 
-def is_python_query(query: Column) -> Column:
+def is_python_query(query: Column, profile: V.Profile = V.GENERAL) -> Column:
     low = F.lower(query)
-    found = low.rlike(pattern(V.PYTHON_QUERY_PATTERN))
-    for word in V.PYTHON_QUERY_WORDS:
+    found = low.rlike(pattern(profile.python_query_pattern))
+    for word in profile.python_query_words:
         found = found | low.contains(word)
     return found
 
@@ -116,36 +116,29 @@ def is_wanted_file(path: Column, size: Column | None = None) -> Column:
     return wanted if size is None else wanted & F.coalesce(size <= V.MAX_FILE_BYTES, F.lit(False))
 
 
-def in_skipped_directory(path: Column) -> Column:
+def in_skipped_directory(path: Column, profile: V.Profile = V.GENERAL, names: tuple[str, ...] | None = None) -> Column:
     """Whether a directory on the way to the file is left out; the file's own name does not count."""
     parts = F.split(path, "/")
-    return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*(F.lit(d) for d in V.SKIPPED_DIRECTORIES)))
+    return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*(F.lit(d) for d in names or profile.skipped_directories)))
 
 
 # ------------------------------------------------------------------ mail
 
 
-def normalized_subject(c: Column) -> Column:
+def normalized_subject(c: Column, profile: V.Profile = V.GENERAL) -> Column:
     for _ in range(3):
         c = F.regexp_replace(c, pattern(V.SUBJECT_PREFIX, "i"), "")
-        c = F.regexp_replace(c, pattern(V.SUBJECT_TAG, "i"), "")
+        c = F.regexp_replace(c, pattern(profile.subject_tag, "i"), "")
     return trimmed(c)
 
 
-def is_install_topic(subject: Column) -> Column:
-    return normalized_subject(subject).rlike(pattern(V.INSTALL_TOPIC, "i"))
+def is_install_topic(subject: Column, profile: V.Profile = V.GENERAL) -> Column:
+    return normalized_subject(subject, profile).rlike(pattern(profile.install_topic, "i"))
 
 
 def above_quotation(c: Column) -> Column:
     """The text in front of the first reply header block or attribution line."""
-    far = F.lit(1 << 30)
-
-    def start(p: str) -> Column:
-        at = F.regexp_instr(c, F.lit(pattern(p, "im")))
-        return F.when(at > 0, at).otherwise(far)
-
-    at = F.least(start(V.REPLY_HEADER), start(V.ATTRIBUTION))
-    return right_trimmed(F.when(at < far, F.left(c, at - 1)).otherwise(c))
+    return right_trimmed(F.regexp_replace(c, pattern(rf"(?:{V.REPLY_HEADER}|{V.ATTRIBUTION})[\s\S]*\z", "im"), ""))
 
 
 def without_footer(c: Column) -> Column:
@@ -206,11 +199,11 @@ def channel_of(ref: Column) -> Column:
     return F.when(is_release_ref(ref), F.regexp_replace(ref, "^v+", "")).otherwise(F.regexp_replace(ref, r"[^A-Za-z0-9._-]+", "-"))
 
 
-def version_label(version: Column, ref: Column, built_at: Column, release: str = "release", snapshot: str = "snapshot") -> Column:
+def version_label(version: Column, ref: Column, built_at: Column, profile: V.Profile = V.GENERAL) -> Column:
     """Label of a release, or of a development snapshot with reference and date."""
     short = F.substring_index(version, ".", 2)
-    return F.when(is_release_ref(ref), F.concat_ws(" ", F.lit(release), short)).otherwise(
-        F.concat(F.lit(snapshot), F.lit(" "), ref, F.lit(" "), built_at, F.lit(" (post-"), short, F.lit(" development)"))
+    return F.when(is_release_ref(ref), F.concat(F.lit(profile.release_label), short)).otherwise(
+        F.concat(F.lit(profile.snapshot_label), ref, F.lit(" snapshot "), built_at, F.lit(" (post-"), short, F.lit(" development)"))
     )
 
 

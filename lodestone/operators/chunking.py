@@ -75,7 +75,6 @@ def python_chunks(text: str, name: str) -> list[Chunk]:
     return out or _whole(text, name)
 
 
-_MACRO = re.compile(V.EXPORT_MACRO)
 _SKIP = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'", re.S)
 _SPACE = re.compile(r"\s*")
 _STOP = re.compile(r"[{};]")
@@ -94,14 +93,14 @@ def _brace_end(code: str, at: int) -> int:
     return len(code)
 
 
-def c_chunks(text: str, name: str) -> list[Chunk]:
+def c_chunks(text: str, name: str, profile: V.Profile = V.GENERAL) -> list[Chunk]:
     """Classes, structs and functions outside of classes, each with the one comment right before it.
 
     Contract: export macros are blanked in the stored text; templates are left out; members
     stay inside their class; of a run of line comments only the last line belongs to the
     definition.  Files in which nothing is found are cut by windows.
     """
-    source = _MACRO.sub(lambda m: " " * len(m[0]), text)
+    source = re.sub(profile.export_macro, lambda m: " " * len(m[0]), text)
     comments: dict[int, int] = {}  # end -> start
     parts, last = [], 0
     for m in _SKIP.finditer(source):
@@ -158,7 +157,7 @@ def c_chunks(text: str, name: str) -> list[Chunk]:
     return out or _whole(text, name)
 
 
-def file_chunks(path: str, text: str) -> list[tuple[int, str, str, str, str]]:
+def file_chunks(path: str, text: str, profile: V.Profile = V.GENERAL) -> list[tuple[int, str, str, str, str]]:
     """(line, text, symbol, language, chunk type) of one file."""
     base = path.rsplit("/", 1)[-1]
     extension = base.rsplit(".", 1)[-1].lower() if "." in base[1:] else ""
@@ -166,7 +165,7 @@ def file_chunks(path: str, text: str) -> list[tuple[int, str, str, str, str]]:
     if language == "py":
         rows = python_chunks(text, base)
     elif language in ("cpp", "c"):
-        rows, language = c_chunks(text, base), "cpp"
+        rows, language = c_chunks(text, base, profile), "cpp"
     else:
         rows, language = _whole(text, base), language or "txt"
     return [(line, t, symbol, language, kind) for line, t, symbol, kind in rows]
@@ -175,7 +174,7 @@ def file_chunks(path: str, text: str) -> list[tuple[int, str, str, str, str]]:
 _CHUNKS = "path string, chunk_ord int, line int, text string, symbol string, language string, chunk_type string"
 
 
-def chunk_files(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
+def chunk_files(files: DataFrame, path_col: str = "path", text_col: str = "text", profile: V.Profile = V.GENERAL) -> DataFrame:
     """One row per chunk of every file: (path, chunk_ord, line, text, symbol, language, chunk_type).
 
     Rows without a path or text give no chunk.
@@ -184,7 +183,7 @@ def chunk_files(files: DataFrame, path_col: str = "path", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, n, *c) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, c in enumerate(file_chunks(p, t))]
+            rows = [(p, n, *c) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, c in enumerate(file_chunks(p, t, profile))]
             if rows:
                 types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["path", "chunk_ord", "line", "text", "symbol", "language", "chunk_type"])

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,7 +24,7 @@ from ..runtime import ship, spread
 MAX_QUERIES = 4096  # rows of a query block, times at most MAX_DIM numbers
 MAX_DIM = 4096
 BUCKETS = 64
-DIGITS = 6
+DIGITS = 12  # scores keep so many decimals: the order of summation moves only later ones
 
 
 def dense_topk(
@@ -120,11 +120,33 @@ def hash_embedding(text):
 def hash_buckets(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, bucket, n): the hashing embedder before its length is normalised, as built-ins only."""
     token = spread(docs.select(id_col, text_col)).select(F.col(id_col), F.explode_outer(T.token_bag(F.col(text_col))).alias("token")).filter(F.col("token").isNotNull())
-    bucket = F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint"), F.lit(BUCKETS)).cast("int")
-    return token.groupBy(id_col, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return token.groupBy(id_col, _bucket_of("token").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def from_postings(ids: DataFrame, postings: DataFrame) -> DataFrame:
+    """(id, embedding): the hashing embedder's unit vectors from (id, token, tf), as built-ins only; ids without tokens get zeros."""
+    counts = postings.select("id", _bucket_of("token").alias("bucket"), "tf").groupBy("id", "bucket").agg(F.sum("tf").cast("double").alias("n"))
+    slots = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    value = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0)) / F.coalesce("size", F.lit(1.0)))
+    return ids.distinct().join(slots, "id", "left").select("id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), BUCKETS)).otherwise(value).alias("embedding"))
+
+
+def _bucket_of(token) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(BUCKETS)).cast("int")
 
 
 def embed(docs: DataFrame, text_col: str = "text", out_col: str = "embedding", embedder=None) -> DataFrame:
     """All rows with an embedding; ``embedder`` is any function from Column to Column."""
     ship(docs.sparkSession)
     return spread(docs).withColumn(out_col, (embedder or hash_embedding)(F.col(text_col)))
+
+
+#: What some embedding models want in front of a query, but not in front of a passage.
+QUERY_FORMAT = "{query}"
+
+
+def embed_queries(queries: DataFrame, text_col: str = "query", out_col: str = "embedding", embedder=None, query_format: str = QUERY_FORMAT) -> DataFrame:
+    """Queries with an embedding, each written into the model's query format first."""
+    before, after = query_format.split("{query}")
+    wrapped = queries.withColumn("__q", F.concat(F.lit(before), F.col(text_col), F.lit(after)))
+    return embed(wrapped, "__q", out_col, embedder).drop("__q")

@@ -18,22 +18,16 @@ def fuse(dense: DataFrame, bm25: DataFrame, symbol: DataFrame, id_col: str = "ch
     ``first_list`` and ``first_rank`` (the first list a chunk is in, and its rank there)
     break ties of the final order.
     """
-    def tagged(df: DataFrame, code: int, score: Column) -> DataFrame:
-        return df.select("query_id", F.col(id_col).alias("id"), F.lit(code).alias("list"), F.col("rank").alias("rank"), score.alias("score"))
-
-    rows = tagged(dense, 0, F.col("score")).unionByName(tagged(bm25, 1, F.col("score"))).unionByName(tagged(symbol, 2, F.lit(None).cast("double")))
-
-    def of(code: int, column: str) -> Column:
-        return F.max(F.when(F.col("list") == code, F.col(column)))
-
-    merged = rows.groupBy("query_id", "id").agg(
-        of(0, "rank").alias("r0"), of(1, "rank").alias("r1"), of(2, "rank").alias("r2"), of(0, "score").alias("dense_score"), of(1, "score").alias("bm25_score"),
-        F.min(F.struct("list", "rank")).alias("first"),
+    keys = ["query_id", "id"]
+    ranked = lambda df, n, *more: df.select("query_id", F.col(id_col).alias("id"), F.col("rank").alias(f"r{n}"), *more)
+    merged = (
+        ranked(dense, 0, F.col("score").alias("dense_score")).join(ranked(bm25, 1, F.col("score").alias("bm25_score")), keys, "full").join(ranked(symbol, 2), keys, "full")
     )
     part = lambda c: F.coalesce(X.reciprocal_rank(F.col(c), V.RRF_K), F.lit(0.0))
+    first = F.when(F.col("r0").isNotNull(), 0).when(F.col("r1").isNotNull(), 1).otherwise(2)
     return merged.select(
         "query_id", F.col("id").alias(id_col), (part("r0") + part("r1") + part("r2")).alias("rrf"), "dense_score", "bm25_score",
-        F.col("first.list").alias("first_list"), F.col("first.rank").alias("first_rank"),
+        first.alias("first_list"), F.coalesce("r0", "r1", "r2").alias("first_rank"),
     )
 
 
@@ -46,13 +40,13 @@ def adjustment(python_query: Column, python_chunk: Column, forum_chunk: Column,
     )
 
 
-def rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = V.TOP_K, id_col: str = "chunk_id") -> DataFrame:
+def rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = V.TOP_K, id_col: str = "chunk_id", profile: V.Profile = V.GENERAL) -> DataFrame:
     """The k best chunks of every query with their texts; texts are joined to candidates only."""
     details = chunks.select(
         F.col(id_col), "path", "line", "language", "chunk_type", "symbol", "text",
-        T.is_python_chunk(F.col("language"), F.col("path")).alias("python_chunk"), T.is_forum_chunk(F.col("language"), F.col("source")).alias("forum_chunk"),
+        T.is_python_chunk(F.col("language"), F.col("path"), profile).alias("python_chunk"), T.is_forum_chunk(F.col("language"), F.col("source"), profile).alias("forum_chunk"),
     )
-    asked = queries.select("query_id", T.is_python_query(F.col("query")).alias("python_query"))
+    asked = queries.select("query_id", T.is_python_query(F.col("query"), profile).alias("python_query"))
     joined = fused.join(details, id_col).join(asked, "query_id").withColumn("flagged_injection", T.looks_like_injection(F.col("text")))
     a, b, c = adjustment(F.col("python_query"), F.col("python_chunk"), F.col("forum_chunk"), F.col("flagged_injection"))
     scored = joined.withColumn("fused", F.col("rrf") + a + b + c)
@@ -67,7 +61,10 @@ def rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = V.T
 
 
 def verdicts(queries: DataFrame, dense: DataFrame, symbol: DataFrame, floor: float = V.DENSE_FLOOR, label: str | None = None) -> DataFrame:
-    """One row per query: whether the index holds enough evidence, and how confident that is."""
+    """One row per query: whether the index holds enough evidence, and how confident that is.
+
+    The floor is held against the best score as it was ranked; only ``confidence`` is rounded.
+    """
     top = dense.groupBy("query_id").agg(F.max("score").alias("top"))
     hit = symbol.select("query_id").distinct().withColumn("hit", F.lit(True))
     joined = queries.select("query_id").join(top, "query_id", "left").join(hit, "query_id", "left")
@@ -85,18 +82,26 @@ def verdicts(queries: DataFrame, dense: DataFrame, symbol: DataFrame, floor: flo
 class Search:
     """Hybrid search of a batch of queries over chunks: three candidate lists, fused and re-ranked.
 
-    ``chunks`` needs the columns of an index and, for the dense list, ``embedding``;
-    ``queries`` needs ``query_id``, ``query`` and ``embedding``.  Everything is lazy.
+    ``chunks`` needs the columns of an index; ``queries`` needs ``query_id``, ``query`` and
+    ``embedding``.  With ``index`` (an opened ``search_index``) the lexical and dense lists come
+    from its postings and vectors; without it, from the texts and the column ``embedding`` of
+    ``chunks``.  Everything is lazy.
     """
 
-    def __init__(self, chunks: DataFrame, queries: DataFrame, candidates: int = V.CANDIDATES, floor: float = V.DENSE_FLOOR, label: str | None = None):
-        self.chunks, self.queries, self.floor, self.label = chunks, queries, floor, label
-        self.dense = dense_op.dense_topk(chunks, queries, candidates)
-        self.bm25 = lexical.bm25(chunks, queries, candidates)
+    def __init__(
+        self, chunks: DataFrame, queries: DataFrame, candidates: int = V.CANDIDATES, floor: float = V.DENSE_FLOOR, label: str | None = None, index=None,
+        profile: V.Profile = V.GENERAL,
+    ):
+        self.chunks, self.queries, self.floor, self.label, self.profile = chunks, queries, floor, label, profile
+        self.dense = dense_op.dense_topk(index.vectors() if index else chunks, queries, candidates)
+        self.bm25 = index.bm25(queries, candidates) if index else lexical.bm25(chunks, queries, candidates)
         self.symbol = symbols.lookup(chunks, queries)
 
+    def fused(self) -> DataFrame:
+        return fuse(self.dense, self.bm25, self.symbol)
+
     def results(self, k: int = V.TOP_K) -> DataFrame:
-        return rerank(fuse(self.dense, self.bm25, self.symbol), self.chunks, self.queries, k)
+        return rerank(self.fused(), self.chunks, self.queries, k, profile=self.profile)
 
     def verdicts(self) -> DataFrame:
         return verdicts(self.queries, self.dense, self.symbol, self.floor, self.label)

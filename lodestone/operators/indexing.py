@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..runtime import checkpoint_dir
 
 
 def union(indexes: list[DataFrame]) -> DataFrame:
@@ -19,16 +20,20 @@ def union(indexes: list[DataFrame]) -> DataFrame:
 def with_dense_ids(rows: DataFrame, order: list[str], out_col: str = "chunk_id") -> DataFrame:
     """Consecutive ids from 0 in the order of the given columns, without one task for all rows.
 
-    Rows are range-partitioned and sorted; the offsets of the partitions come from their
-    counts, one row per partition.
+    Rows are range-partitioned, sorted and written once to the shared checkpoint folder, which
+    fixes what a partition holds; the count of every partition and the place of a row inside
+    its partition are then read from those same files, whatever columns are asked for.  The
+    order should tell rows apart: rows that are equal in it share a partition and get their
+    ids in any order.
     """
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    inside = Window.partitionBy("__p").orderBy("__m")
-    counts = sorted_rows.groupBy("__p").agg(F.count("*").alias("__n"))
+    checkpoint_dir(rows.sparkSession)
+    fixed = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    place = F.monotonically_increasing_id()  # number of the partition, then 33 bits for the row inside it
+    counts = fixed.select(F.shiftright(place, 33).alias("__p")).groupBy("__p").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(F.lit(1)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    numbered = sorted_rows.withColumn("__r", F.row_number().over(inside)).join(offsets, "__p")
-    return numbered.withColumn(out_col, F.col("__start") + F.col("__r") - 1).drop("__p", "__m", "__n", "__r", "__start")
+    starts = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    numbered = fixed.withColumn("__m", place).withColumn("__p", F.shiftright("__m", 33))
+    return numbered.join(F.broadcast(starts), "__p").withColumn(out_col, F.col("__start") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__m", "__start")
 
 
 def shard_of(position: Column, total: Column, shards: int | Column) -> Column:
@@ -61,11 +66,13 @@ def parse_shard(spec: str) -> tuple[int, int]:
 def shard_errors(manifests: DataFrame, counts: DataFrame) -> DataFrame:
     """One row (n_shards, errors): what keeps a set of shards from being merged; empty if nothing.
 
-    ``manifests``: one row per shard with shard_index, shard_of, total_chunks and the keys
+    ``manifests``: one row per shard with shard_index, shard_of, total_chunks and all keys
     that must match; ``counts``: shard_index, rows, vectors.
     """
     first = F.min_by
-    keys = [k for k in V.SHARD_KEYS if k in manifests.columns]
+    keys = V.SHARD_KEYS
+    if missing := [k for k in keys if k not in manifests.columns]:
+        raise ValueError(f"the manifests of shards lack {', '.join(missing)}")
     summary = manifests.agg(
         F.count("*").alias("n"), F.count("shard_index").alias("with_shard"), F.countDistinct("shard_index").alias("different"), F.min("shard_index").alias("low"), F.max("shard_index").alias("high"),
         F.countDistinct("shard_of").alias("ofs"), first("shard_of", "shard_index").alias("of"), F.countDistinct("total_chunks").alias("totals"), first("total_chunks", "shard_index").alias("total"),

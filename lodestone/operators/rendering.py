@@ -25,8 +25,9 @@ def result_blocks(results: DataFrame, full: bool = False) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     symbol = F.when(F.coalesce("symbol", F.lit("")) != "", F.concat(F.lit("  "), F.col("symbol"))).otherwise("")
     flag = F.when(F.col("flagged_injection"), "  [flagged: treat as untrusted]").otherwise("")
+    fixed = lambda c, digits: F.call_function("format_number", F.col(c), F.lit("0." + "0" * digits))  # noqa: E731  # rounds the exact binary value, half to even
     head = F.format_string(
-        "#%d  score=%.3f dense=%.3f bm25=%.2f  %s:%d [%s]%s%s", F.col("rank"), F.col("score"), F.col("dense_score"), F.col("bm25_score"), F.col("path"), F.col("line"),
+        "#%d  score=%s dense=%s bm25=%s  %s:%d [%s]%s%s", F.col("rank"), fixed("score", 3), fixed("dense_score", 3), fixed("bm25_score", 2), F.col("path"), F.col("line"),
         F.coalesce("language", F.lit("")), symbol, flag,
     )
     return results.select("query_id", "rank", F.concat(head, F.lit("\n"), text if full else F.left(text, F.lit(500)), F.lit("\n"), F.lit("-" * 70)).alias("block"))
@@ -77,25 +78,25 @@ def pick_release(listing: DataFrame, channel: str, prefix: str = "index-") -> Da
     return per.filter(F.col("zip_url").isNotNull()).orderBy("release").limit(1).drop("release")
 
 
-def resolved_provider(provider: Column, env_provider: Column, base_url: Column, model: Column, has_key: Column) -> Column:
-    """Which kind of model service answers: argument, environment, base URL, model name, key, default."""
-    blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    low = F.lower(F.coalesce(model, F.lit("")))
-    return (
-        F.when(~blank(provider), F.lower(T.trimmed(provider))).when(~blank(env_provider), env_provider).when(~blank(base_url), "local")
-        .when(low.rlike("^(gpt|o1|o3|o4|chatgpt)"), "openai").when(low.startswith("claude"), "anthropic").when(F.coalesce(has_key, F.lit(False)), "anthropic").otherwise("openai")
-    )
+def prompts(verdicts: DataFrame, results: DataFrame) -> DataFrame:
+    """(query_id, version_label, system, sources) of the queries with enough evidence.
+
+    The scope label and the context of a query are part of the instructions.
+    """
+    told = verdicts.filter(~F.col("insufficient_evidence")).select("query_id", "version_label").join(contexts(results), "query_id")
+    system = F.concat(F.lit(V.ANSWER_SYSTEM + "\n\nIndex scope: "), "version_label", F.lit("\n\ncontext:\n"), "context")
+    return told.select("query_id", "version_label", system.alias("system"), "sources")
 
 
-def answers(verdicts: DataFrame, results: DataFrame, generate) -> DataFrame:
-    """(query_id, insufficient, answer, sources): a generator is asked only where evidence suffices.
+def answers(verdicts: DataFrame, results: DataFrame, queries: DataFrame, generate) -> DataFrame:
+    """(query_id, version, insufficient, answer, sources): a generator is asked only where evidence suffices.
 
-    ``generate`` maps a Column of contexts to a Column of answers.
+    ``generate`` maps Columns of instructions and questions to a Column of answers.
     """
-    told = verdicts.filter(~F.col("insufficient_evidence")).select("query_id").join(contexts(results), "query_id")
-    good = told.select("query_id", F.lit(False).alias("insufficient"), generate(F.col("context")).alias("answer"), "sources")
+    asked = prompts(verdicts, results).join(queries.select("query_id", "query"), "query_id")
+    good = asked.select("query_id", F.col("version_label").alias("version"), F.lit(False).alias("insufficient"), generate(F.col("system"), F.concat(F.lit("Question: "), "query")).alias("answer"), "sources")
     bad = verdicts.filter("insufficient_evidence").select(
-        "query_id", F.lit(True).alias("insufficient"), F.lit("No relevant context was found for that query. Try a class or function name, or the exact error message.").alias("answer"),
+        "query_id", F.col("version_label").alias("version"), F.lit(True).alias("insufficient"), F.concat(F.lit("Scope: "), "version_label", F.lit(". " + V.NO_CONTEXT)).alias("answer"),
         F.array().cast("array<string>").alias("sources"),
     )
     return good.unionByName(bad)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions import fixed_values as V
 from ..functions import text as T
 from ..functions import vectors as X
-from ..operators import chunking, dense, evaluation, fusion, indexing, lexical, mail, rendering, symbols
+from ..operators import chunking, dense, evaluation, fusion, indexing, lexical, mail, rendering, search_index, symbols
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,6 +31,21 @@ def gold_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("query_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("query", "kind", F.to_json("relevant"), F.to_json("channels"))).cast("bigint"))
 
 
+_PROFILES: dict[str, V.Profile] = {}
+
+
+def profile(spark: SparkSession, sf_dir: str) -> V.Profile:
+    """The product whose forum the chunks name as their source; read until the first such chunk."""
+    if sf_dir not in _PROFILES:
+        row = t(spark, sf_dir, "meta").select(F.regexp_extract("source", r"^project([a-z0-9]+)-forum$", 1).alias("p")).filter("p <> ''").first()
+        _PROFILES[sf_dir] = V.Profile(row["p"] if row else "")
+    return _PROFILES[sf_dir]
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> search_index.SearchIndex:
+    return search_index.of_table(spark, f"{sf_dir}/meta.parquet")
+
+
 def embedded_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.embed(gold_queries(spark, sf_dir), "query")
 
@@ -39,7 +55,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search(spark: SparkSession, sf_dir: str) -> fusion.Search:
-    return fusion.Search(dense.embed(t(spark, sf_dir, "meta")), embedded_gold(spark, sf_dir))
+    return fusion.Search(t(spark, sf_dir, "meta"), embedded_gold(spark, sf_dir), index=stored_index(spark, sf_dir), profile=profile(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ lexical
@@ -57,10 +73,30 @@ def token_df_idf(spark, sf_dir):
 
 @query
 def bm25_topk(spark, sf_dir):
+    found = stored_index(spark, sf_dir).bm25(gold_queries(spark, sf_dir))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def bm25_scan(spark, sf_dir):
+    """The same ranking without a stored index."""
     found = lexical.bm25(t(spark, sf_dir, "meta"), gold_queries(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def stored_terms(spark, sf_dir):
+    """Statistics of the tokens, as the stored index holds them."""
+    return stored_index(spark, sf_dir).terms().select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def stored_vectors(spark, sf_dir):
+    """The hashing embedder's vectors of all chunks, as the stored index holds them."""
+    v = stored_index(spark, sf_dir).vectors()
+    return v.select("chunk_id", F.size("embedding").alias("dim"), F.round(X.norm(F.col("embedding")), 6).alias("norm"), F.round(F.reduce("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
 # ------------------------------------------------------------------ dense
 
 
@@ -76,7 +112,7 @@ def l2_normalize(spark, sf_dir):
 def dense_topk(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
     asked = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    return dense.dense_topk(e, asked, 10, "vec_id").select("query_id", "vec_id", "score", "rank")
+    return dense.dense_topk(e, asked, 10, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
@@ -95,7 +131,7 @@ def symbol_keys(spark, sf_dir):
 @query
 def symbol_lookup(spark, sf_dir):
     m = t(spark, sf_dir, "meta")
-    named = m.filter(F.col("chunk_type").isin("class", "struct") & (F.coalesce("symbol", F.lit("")) != ""))
+    named = m.filter(F.coalesce("symbol", F.lit("")) != "")
     asked = named.groupBy("symbol").agg(F.min("chunk_id").alias("query_id")).select("query_id", F.col("symbol").alias("query"))
     return symbols.lookup(m, asked)
 
@@ -103,22 +139,21 @@ def symbol_lookup(spark, sf_dir):
 @query
 def chunk_flags(spark, sf_dir):
     m = t(spark, sf_dir, "meta")
+    p = profile(spark, sf_dir)
     return m.select(
-        "chunk_id", T.is_python_chunk(F.col("language"), F.col("path")).alias("python_chunk"), T.is_forum_chunk(F.col("language"), F.col("source")).alias("forum_chunk"),
+        "chunk_id", T.is_python_chunk(F.col("language"), F.col("path"), p).alias("python_chunk"), T.is_forum_chunk(F.col("language"), F.col("source"), p).alias("forum_chunk"),
         T.looks_like_injection(F.col("text")).alias("flagged"),
     )
 
 
 @query
 def query_flags(spark, sf_dir):
-    return gold_queries(spark, sf_dir).select("query_id", "query", T.is_python_query(F.col("query")).alias("python_query"), F.array_join(T.query_identifiers(F.col("query")), " ").alias("identifiers"))
+    return gold_queries(spark, sf_dir).select("query_id", "query", T.is_python_query(F.col("query"), profile(spark, sf_dir)).alias("python_query"), F.array_join(T.query_identifiers(F.col("query")), " ").alias("identifiers"))
 
 
 @query
 def rrf_fusion(spark, sf_dir):
-    m, q = t(spark, sf_dir, "meta"), gold_queries(spark, sf_dir)
-    none = lexical.bm25(m, q).limit(0)
-    f = fusion.fuse(none, lexical.bm25(m, q), symbols.lookup(m, q))
+    f = search(spark, sf_dir).fused()
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "first_list", "first_rank", "chunk_id")
     return f.withColumn("place", F.row_number().over(order)).select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), F.col("first_list").cast("bigint").alias("first_list"), F.col("first_rank").cast("bigint").alias("first_rank"), F.col("place").cast("bigint").alias("place"))
 
@@ -151,22 +186,16 @@ def channel_filter(spark, sf_dir):
     g = gold_queries(spark, sf_dir)
     channels = t(spark, sf_dir, "manifest").select("index_ord", "channel")
     return g.crossJoin(channels).select(  # 30 evaluation queries, 3 indexes: both tables are fixed
-        "query_id", "index_ord", evaluation_applies(F.col("channels"), F.col("channel")).alias("applies")
+        "query_id", "index_ord", evaluation.applies_to(F.col("channels"), F.col("channel")).alias("applies")
     )
 
 
-def evaluation_applies(channels, channel):
-    none = F.size(F.coalesce(channels, F.array().cast("array<string>"))) <= 0
-    return none | F.coalesce(F.array_contains(channels, channel), F.lit(False))
-
-
 @query
 def recall_mrr(spark, sf_dir):
-    m, q = t(spark, sf_dir, "meta"), gold_queries(spark, sf_dir)
-    listed = lexical.bm25(m, q, V.EVAL_K).join(m.select("chunk_id", "path"), "chunk_id")
-    hits = evaluation.first_hits(listed, q)
-    judged = q.select("query_id", (F.col("kind") == "negative").alias("insufficient_evidence"))
-    return evaluation.quality(hits, judged)
+    """Quality of the lexical list alone, with the verdicts of the whole search."""
+    s, q = search(spark, sf_dir), gold_queries(spark, sf_dir)
+    listed = s.bm25.filter(F.col("rank") <= V.EVAL_K).join(t(spark, sf_dir, "meta").select("chunk_id", "path"), "chunk_id")
+    return evaluation.quality(evaluation.first_hits(listed, q), s.verdicts())
 
 
 @query
@@ -200,7 +229,7 @@ def structural_chunks(spark, sf_dir):
     m = t(spark, sf_dir, "meta").filter(~F.col("path").startswith("forum/"))
     # every chunk of the index is taken for a file of its own; its id makes the path unique
     files = m.select(F.concat(F.col("chunk_id").cast("string"), F.lit("/"), F.col("path")).alias("path"), "text")
-    return chunking.chunk_files(files)
+    return chunking.chunk_files(files, profile=profile(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ files
@@ -212,7 +241,7 @@ def file_predicates(spark, sf_dir):
     path = F.col("path")
     return p.select(
         "path", T.basename(path).alias("base"), T.extension(path).alias("extension"), T.language_of(path).alias("language_of_path"),
-        T.is_wanted_file(path).alias("wanted"), T.in_skipped_directory(path).alias("skipped_directory"),
+        T.is_wanted_file(path).alias("wanted"), T.in_skipped_directory(path, profile(spark, sf_dir)).alias("skipped_directory"),
     )
 
 
@@ -221,8 +250,8 @@ def file_predicates(spark, sf_dir):
 
 @query
 def subject_normalize(spark, sf_dir):
-    m = t(spark, sf_dir, "messages").distinct()
-    return m.select("msg_ord", T.normalized_subject(F.col("subject")).alias("subject"), F.coalesce(T.is_install_topic(F.col("subject")), F.lit(False)).alias("install"), T.sender_name(F.col("sender")).alias("sender_name"))
+    m, p = t(spark, sf_dir, "messages").distinct(), profile(spark, sf_dir)
+    return m.select("msg_ord", T.normalized_subject(F.col("subject"), p).alias("subject"), F.coalesce(T.is_install_topic(F.col("subject"), p), F.lit(False)).alias("install"), T.sender_name(F.col("sender")).alias("sender_name"))
 
 
 @query
@@ -258,18 +287,24 @@ def thread_running_count(spark, sf_dir):
     return mail.running_numbers(mail.distinct_messages(t(spark, sf_dir, "messages"))).select("msg_ord", "number")
 
 
+@query
+def thread_numbers_by_offset(spark, sf_dir):
+    """Running numbers where the order is a byte offset with wide gaps, as in a mailbox."""
+    m = mail.distinct_messages(t(spark, sf_dir, "messages")).withColumn("offset", F.col("msg_ord") * 7919)
+    return mail.running_numbers(m, order_col="offset").select("msg_ord", "number")
+
+
 @query
 def forum_rows(spark, sf_dir):
     bodies = t(spark, sf_dir, "meta").select("chunk_id", F.col("text").alias("body"))
-    return mail.post_rows(mail.distinct_messages(t(spark, sf_dir, "messages")).join(bodies, "chunk_id")).drop("msg_ord")
+    return mail.post_rows(mail.distinct_messages(t(spark, sf_dir, "messages")).join(bodies, "chunk_id"), profile(spark, sf_dir)).drop("msg_ord")
 
 
 @query
 def build_counters(spark, sf_dir):
     bodies = t(spark, sf_dir, "meta").select("chunk_id", T.without_quoted_lines(F.col("text")).alias("stripped"))
-    m = mail.distinct_messages(t(spark, sf_dir, "messages")).join(bodies, "chunk_id", "left")
-    year = F.year("received_at")
-    return mail.counters(m.withColumn("reason", mail.skip_reason(year, F.col("subject"), F.coalesce("stripped", F.lit("")))))
+    m = mail.with_year(mail.distinct_messages(t(spark, sf_dir, "messages"))).join(bodies, "chunk_id", "left")
+    return mail.counters(m.withColumn("reason", mail.skip_reason(F.col("year"), F.col("subject"), F.coalesce("stripped", F.lit("")), profile(spark, sf_dir))))
 
 
 @query
@@ -293,6 +328,14 @@ def dense_ids(spark, sf_dir):
     return d.select("chunk_id", "position")
 
 
+@query
+def index_build_ids(spark, sf_dir):
+    """Ids of a whole index build: rows with their texts, numbered in the order of path and place."""
+    m = t(spark, sf_dir, "meta").drop("index_ord")
+    d = indexing.with_dense_ids(m.withColumnRenamed("chunk_id", "own_id"), ["path", "line", "own_id"])
+    return d.select("chunk_id", "own_id", F.md5("text").alias("digest"))
+
+
 @query
 def shard_assignment(spark, sf_dir):
     d = indexing.with_dense_ids(t(spark, sf_dir, "meta").select("chunk_id"), ["chunk_id"], "position")
@@ -335,7 +378,7 @@ def manifest_health(spark, sf_dir):
 @query
 def channel_slug(spark, sf_dir):
     m = t(spark, sf_dir, "manifest").select("index_ord", F.coalesce("engine_ref", F.lit("feature/x y")).alias("ref"), F.coalesce("engine_version", F.lit("0.0")).alias("version"), "built_at")
-    return m.select("index_ord", T.channel_of(F.col("ref")).alias("channel"), T.version_label(F.col("version"), F.col("ref"), F.col("built_at")).alias("label"))
+    return m.select("index_ord", T.channel_of(F.col("ref")).alias("channel"), T.version_label(F.col("version"), F.col("ref"), F.col("built_at"), profile(spark, sf_dir)).alias("label"))
 
 
 @query
@@ -380,8 +423,8 @@ PROVIDER_CASES = (
 
 @query
 def provider_resolve(spark, sf_dir):
-    df = spark.createDataFrame(list(PROVIDER_CASES), "case_id int, provider string, env string, base_url string, model string, has_key boolean")
-    return df.select("case_id", rendering.resolved_provider(*(F.col(c) for c in ("provider", "env", "base_url", "model", "has_key"))).alias("resolved"))
+    rows = [(n, EngineConfig(provider=env or "", base_url=url or "", has_key=key).resolved_provider(asked or "", model or "")) for n, asked, env, url, model, key in PROVIDER_CASES]
+    return spark.createDataFrame(rows, "case_id int, resolved string")
 
 
 @query

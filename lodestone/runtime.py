@@ -35,14 +35,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A folder of our own is made only where none is named and all executors are threads of
+    this process; on a cluster a missing setting is an error, because a folder of one machine
+    cannot be read by the others.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    have = sc._jsc.sc().getCheckpointDir()
     if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if have.isEmpty():
             sc.setCheckpointDir(named)
         return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if have.isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

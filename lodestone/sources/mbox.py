@@ -1,104 +1,76 @@
-"""Mailboxes as DataFrames, through a Python data source that reads byte ranges in parallel.
+"""Mailboxes as DataFrames, in batch and as a stream, through Spark's own text source.
 
-A message begins at a line that starts with ``From `` .  Every partition owns the messages
-whose first byte lies in its range and reads past its end only to finish the last one, so
-a mailbox of any size is read by many tasks with bounded memory.
+A message begins at a line that starts with ``From ``, which is a record separator: the text
+source splits mailboxes of any size at byte ranges, on any file system that Spark reads, and
+finishes the last message of a range.  Messages are parsed in Arrow batches.
 """
 
 from __future__ import annotations
 
 import email
-import os
 from collections.abc import Iterator
-from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import fixed_values as V
 from ..functions import headers as H
+from ..functions import text as T
 from ..runtime import ship
 
-SCHEMA = "msg_ord bigint, thread_raw string, subject_raw string, sender_raw string, date_raw string, message string"
-RANGE_BYTES = 16_000_000
-
-
-@dataclass
-class ByteRange(InputPartition):
-    path: str
-    start: int
-    stop: int
-
-
-class MailboxReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file:")
-        self.step = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
-
-    def partitions(self) -> list[ByteRange]:
-        size = os.path.getsize(self.path)
-        return [ByteRange(self.path, a, min(a + self.step, size)) for a in range(0, size, self.step)] or [ByteRange(self.path, 0, 0)]
-
-    def read(self, partition: ByteRange) -> Iterator[tuple]:
-        for at, raw in messages(partition.path, partition.start, partition.stop):
-            try:
-                m = email.message_from_string(raw)
-            except Exception:  # a message that cannot be parsed is left out
-                continue
-            yield at, m.get("X-GM-THRID"), m.get("Subject"), m.get("From"), m.get("Date"), raw
-
-
-def messages(path: str, start: int, stop: int) -> Iterator[tuple[int, str]]:
-    """(offset, text) of the messages that begin in a byte range; text in front of the first one belongs to it."""
-    with open(path, "rb") as f:
-        if start:
-            f.seek(start - 1)
-            f.readline()  # to the next line start
-        held: list[bytes] = []
-        begun = f.tell()
-        first = start == 0
-        while True:
-            at = f.tell()
-            line = f.readline()
-            opens = line.startswith(b"From ")
-            if not line or opens and (held or at >= stop):
-                if held:
-                    yield begun, b"".join(held).decode("utf-8", "ignore")
-                    held = []
-                if not line or at >= stop:
-                    return
-            if opens or held or first:
-                if not held:
-                    begun = at
-                held.append(line)
-            elif at >= stop:
-                return
-
-
-class Mailbox(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "mailbox"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> MailboxReader:
-        return MailboxReader(self.options)
-
-
-def read_mailbox(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(msg_ord, thread_id, subject, sender, date_raw, body): decoded headers and selected bodies.
-
-    ``msg_ord`` is the byte offset of a message, which orders messages as the file does.
+SEPARATOR = "\nFrom "
+_PARSED = pa.schema([(n, pa.int64() if n == "msg_ord" else pa.string()) for n in ("mailbox", "msg_ord", "thread_raw", "subject_raw", "sender_raw", "date_raw", "plain", "markup")])
+_DDL = ", ".join(f"{f.name} {'bigint' if f.type == pa.int64() else 'string'}" for f in _PARSED)
+
+
+def _header(message: email.message.Message, name: str) -> str | None:
+    value = message.get(name)
+    return None if value is None else str(value)
+
+
+def parsed_message(raw: str) -> tuple[str | None, ...]:
+    """(thread, subject, sender, date, plain, markup) of one message, headers not yet decoded."""
+    whole = raw if raw.startswith("From ") else "From " + raw
+    whole = whole.replace("�", "")  # bytes that are no UTF-8 are dropped
+    m = email.message_from_string(whole)
+    return (*(_header(m, h) for h in ("X-GM-THRID", "Subject", "From", "Date")), *H.body_of(whole))
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place: tuple[str, int] | None = None
+    seen = 0
+    for b in batches:
+        rows = []
+        for path, start, raw in zip(*(c.to_pylist() for c in b.columns)):
+            if (path, start) != place:  # the records of a byte range come one after another
+                place, seen = (path, start), 0
+            rows.append((path, start + seen, *parsed_message(raw)))
+            seen += 1
+        if rows:
+            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), _PARSED)], schema=_PARSED)
+
+
+def _messages(records: DataFrame) -> DataFrame:
+    ship(records.sparkSession)
+    raw = records.select("_metadata.file_path", "_metadata.file_block_start", "value").filter(F.length(T.trimmed(F.col("value"))) > 0).mapInArrow(_parse, _DDL)
+    body = F.when(F.col("plain") != "", F.col("plain")).otherwise(F.left(H.unescape(T.html_to_text(F.col("markup"))), F.lit(V.MAX_BODY_CHARS)))
+    thread = F.coalesce(H.decoded("thread_raw"), F.lit(""))
+    return raw.select(
+        "mailbox", "msg_ord", H.decoded("subject_raw").alias("subject"), H.decoded("sender_raw").alias("sender"), "date_raw", body.alias("body"),
+        F.when(thread == "", "unknown").otherwise(thread).alias("thread_id"),
+    )
+
+
+def read_mailbox(spark: SparkSession, path: str) -> DataFrame:
+    """(mailbox, msg_ord, subject, sender, date_raw, body, thread_id): decoded headers and selected bodies.
+
+    ``msg_ord`` is the first byte of the range a message was read from plus its number inside
+    that range, which orders the messages of a mailbox as the file does.
     """
-    ship(spark)
-    spark.dataSource.register(Mailbox)
-    raw = spark.read.format("mailbox").option("rangebytes", range_bytes).load(path)
-    b = raw.withColumn("b", H.bodies("message"))
-    from ..functions import text as T
-
-    body = F.when(F.col("b.plain") != "", F.col("b.plain")).otherwise(F.left(H.unescape(T.html_to_text(F.col("b.markup"))), F.lit(8000)))
-    return b.select(
-        "msg_ord", F.coalesce(H.decoded("thread_raw"), F.lit("")).alias("thread_raw"), H.decoded("subject_raw").alias("subject"), H.decoded("sender_raw").alias("sender"), "date_raw", body.alias("body")
-    ).withColumn("thread_id", F.when(F.col("thread_raw") == "", "unknown").otherwise(F.col("thread_raw"))).drop("thread_raw")
+    return _messages(spark.read.option("lineSep", SEPARATOR).text(path))
+
+
+def stream_mailboxes(spark: SparkSession, directory: str, files_per_batch: int = 64) -> DataFrame:
+    """The same rows as a stream of the mailboxes that are put into a directory."""
+    return _messages(spark.readStream.option("lineSep", SEPARATOR).option("maxFilesPerTrigger", files_per_batch).text(directory))

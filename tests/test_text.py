@@ -5,11 +5,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestone.functions import fixed_values as V
 from lodestone.functions import headers as H
 from lodestone.functions import text as T
 from lodestone.operators import chunking, dense
 
 
+ACME = V.Profile("acme")
+
+
 def one(spark, expr, **columns):
     row = spark.createDataFrame([tuple(columns.values())], ", ".join(f"{k} string" for k in columns))
     return row.select(expr.alias("x")).first()["x"]
@@ -64,10 +68,22 @@ def test_injection(spark, text, flag):
 
 
 @pytest.mark.parametrize(
-    "raw,clean", [("Re: RE: [chrono] fwd: Hello", "Hello"), ("re:fw: x", "x"), ("[chrono]  a ", "a"), ("AW: b", "AW: b"), ("Re: Re: Re: Re: deep", "Re: deep"), ("", "")]
+    "raw,clean", [("Re: RE: [acme] fwd: Hello", "Hello"), ("re:fw: x", "x"), ("[acme]  a ", "a"), ("[other] a", "[other] a"), ("AW: b", "AW: b"), ("Re: Re: Re: Re: deep", "Re: deep"), ("", "")]
 )
 def test_subject(spark, raw, clean):
-    assert one(spark, T.normalized_subject(F.col("s")), s=raw) == clean
+    assert one(spark, T.normalized_subject(F.col("s"), ACME), s=raw) == clean
+
+
+def test_profile(spark):
+    assert one(spark, T.is_install_topic(F.col("s"), ACME), s="Re: building acme") and not one(spark, T.is_install_topic(F.col("s")), s="Re: building acme")
+    chunk = lambda path, p: one(spark, T.is_python_chunk(F.lit("cpp"), F.col("p"), p), p=path)
+    assert chunk("x/pyacme_core/a.h", ACME) and not chunk("x/pyacme_core/a.h", V.GENERAL) and chunk("x/python/a.h", V.GENERAL)
+    query = lambda q, p=ACME: one(spark, T.is_python_query(F.col("q"), p), q=q)
+    assert query("import acme as a") and query("acme.Body()") and query("in Python") and not query("import it") and not query("acme")
+    assert one(spark, T.is_forum_chunk(F.lit(None).cast("string"), F.col("s"), ACME), s="projectacme-forum")
+    assert one(spark, T.in_skipped_directory(F.col("p"), ACME), p="src/acme_thirdparty/a.h") and not one(spark, T.in_skipped_directory(F.col("p")), p="src/acme_thirdparty/a.h")
+    with pytest.raises(ValueError):
+        V.Profile("two words")
 
 
 def test_install_topic(spark):
@@ -81,6 +97,7 @@ def test_scrub(spark):
     assert one(spark, T.without_greeting_names(F.col("t")), t="Hi ChBody works\nThanks again all") == "Hi ChBody works\nThanks again all"
     header = "new text\nFrom: a\nSent: b\nTo: c\nSubject: d\nold"
     assert one(spark, T.above_quotation(F.col("t")), t=header) == "new text"
+    assert one(spark, T.above_quotation(F.col("t")), t="so \U0001f600\U0001f680 nice\n\nOn Mon, Ann wrote:\n> x") == "so \U0001f600\U0001f680 nice"  # beyond the basic plane
     assert one(spark, T.without_footer(F.col("t")), t="x\nYou received this message because you are subscribed to\nfoo at googlegroups.com.") == "x\n"
     assert one(spark, T.sender_name(F.col("t")), t='"Ann Lee" <ann@x.org>') == "Ann Lee"
 
@@ -103,8 +120,9 @@ def test_files(spark):
 def test_versions(spark):
     assert one(spark, T.channel_of(F.col("r")), r="v10.0.1") == "10.0.1"
     assert one(spark, T.channel_of(F.col("r")), r="feature/x y") == "feature-x-y"
-    assert one(spark, T.version_label(F.lit("10.0.1"), F.col("r"), F.lit("2024-05-01")), r="10.0.1") == "release 10.0"
-    assert one(spark, T.version_label(F.lit("9.1.0"), F.col("r"), F.lit("2024-05-01")), r="main") == "snapshot main 2024-05-01 (post-9.1 development)"
+    label = lambda version, ref, p=V.GENERAL: one(spark, T.version_label(F.lit(version), F.col("r"), F.lit("2024-05-01"), p), r=ref)
+    assert label("10.0.1", "10.0.1") == "release 10.0" and label("10.0.1", "v10.0.1", ACME) == "PyAcme 10.0"
+    assert label("9.1.0", "main") == "main snapshot 2024-05-01 (post-9.1 development)" and label("9.1.0", "main", ACME) == "Acme main snapshot 2024-05-01 (post-9.1 development)"
 
 
 def test_headers():
@@ -153,8 +171,8 @@ def test_python_chunks():
 
 
 def test_c_chunks():
-    code = "// a\n// last\nclass ChApi Foo : public Bar {\n public:\n  void x() {}\n};\nnamespace n {\n/** doc */\nint Foo::get(int a) const { return a; }\ntemplate <class T>\nT id(T t) { return t; }\nstruct P { int q; };\n}\n"
-    rows = chunking.file_chunks("x.cpp", code)
+    code = "// a\n// last\nclass AcApi Foo : public Bar {\n public:\n  void x() {}\n};\nnamespace n {\n/** doc */\nint Foo::get(int a) const { return a; }\ntemplate <class T>\nT id(T t) { return t; }\nstruct P { int q; };\n}\n"
+    rows = chunking.file_chunks("x.cpp", code, ACME)
     assert [(r[0], r[2], r[3], r[4]) for r in rows] == [(2, "Foo", "cpp", "class"), (8, "Foo::get", "cpp", "function"), (12, "P", "cpp", "struct")]
     assert rows[0][1].startswith("// last\nclass       Foo")
     assert chunking.file_chunks("y.c", "int x;\n")[0][4] == "file"
