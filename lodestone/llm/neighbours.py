@@ -1,10 +1,12 @@
 """The most similar vectors of every vector, by a forest of random-projection trees.
 
-1. Equal vectors become one class with its six smallest ids (a partial top-k before the
-   shuffle, so a class that holds a third of all rows sends six rows per task).
+1. Equal vectors become one class with its k + 1 smallest ids (a partial top-k before the
+   shuffle, so a class that holds a third of all rows sends few rows per task).
 2. A tree fitted on a bounded sample cuts the space into cells of about ``cell_rows``
-   classes; a class enters its own cell and every other one whose priority is above
-   ``-near``, that is, all cells it lies close to, however many cells there are.
+   classes; a class enters its ``least_cells`` best cells and every other one whose priority is
+   above ``-near``, that is, all cells it lies close to, however many cells there are.  The
+   tree has at most ``max_cells`` leaves; where that leaves cells too large, each of those is
+   cut by a tree of its own, again and again until none is (``_cut_again``).
 3. Inside a cell a forest is searched through one priority queue shared by its trees, rows
    of crowds are scored against the whole cell, and the best candidates are scored again in double precision from the original numbers.
 4. The lists of a class from all its cells are merged, and every id gets its class's list
@@ -22,6 +24,7 @@ go to the smaller id; an empty table gives an empty result; extra columns are ig
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import neighbours_kernel as kernel
-from ..runtime import ship
+from ..runtime import checkpoint_dir, ship
 from .common import need, spread
 
-FIRST = 6  # ids kept of a class of equal vectors: five neighbours and the id itself
+SUBSAMPLE = 16  # rows of the sample for each leaf of a tree that cuts a cell again
+SALT_ROWS = 200_000  # rows of a cell that one task routes
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -78,14 +82,83 @@ def _valid(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return i[good].astype(np.int64), np.ascontiguousarray(x[good])
 
 
+_CELLS = "cell bigint, key binary, ids array<bigint>, v binary"
+_CELLS_ARROW = pa.schema([("cell", pa.int64()), ("key", pa.binary()), ("ids", pa.list_(pa.int64())), ("v", pa.binary())])
+
+
+def _routed(tree: kernel.Tree | None, vectors: pa.Array | pa.ChunkedArray, dim: int, near: float, least_cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the leaves they enter."""
+    n = len(vectors)
+    if tree is None or tree.leaves == 1:
+        return np.arange(n), np.zeros(n, np.int64)
+    who, cell = [], []
+    for a in range(0, n, 2000):
+        r, c = kernel.close_leaves(tree, _unit32(_matrix(vectors.slice(a, 2000), dim)), near, least_cells)
+        who.append(r + a)
+        cell.append(c.astype(np.int64))
+    return np.concatenate(who), np.concatenate(cell)
+
+
+def _cut_again(cells: DataFrame, dim: int, near: float, cell_rows: int, max_cells: int) -> DataFrame:
+    """Cells that hold more than twice ``cell_rows`` rows, cut by trees of their own until none is left.
+
+    Each round writes the cells to the shared checkpoint folder and cuts a cell into at most
+    ``max_cells`` parts.  Its tree is fitted by one task on a bounded sample (a partial top-k by
+    hash); its rows are routed by as many tasks as their number asks for.
+    """
+    checkpoint_dir(cells.sparkSession)
+    done = None
+    for _ in range(5):  # five rounds of 1024 parts are more cells than a bigint can name
+        cells = cells.checkpoint()
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
+        large = sizes.filter(F.col("n") > 2 * cell_rows).select(
+            "cell", F.least(F.lit(max_cells), F.ceil(F.col("n") / cell_rows)).cast("int").alias("parts"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")
+        ).checkpoint()
+        small = cells.join(large, "cell", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        if large.isEmpty():
+            return done
+        big = cells.join(large, "cell")
+        by_hash = Window.partitionBy("cell").orderBy(F.xxhash64("key"), "key")
+        sample = big.withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= SUBSAMPLE * max_cells).filter(F.col("r") <= SUBSAMPLE * F.col("parts"))
+
+        def fit(table: pa.Table) -> pa.Table:
+            x = np.unique(_unit32(_matrix(table["v"], dim)), axis=0)
+            tree, _ = kernel.build_tree(x, max(2, math.ceil(len(x) / table["parts"][0].as_py())), np.random.default_rng(13), max_leaves=max_cells, tries=16)
+            # in a crowd every row lies close to every hyperplane; the margin shrinks with the spread of the cell
+            margin = min(near, float((x @ tree.normals[0]).std()) / 4) if len(tree.normals) else near
+            return pa.table({"cell": table["cell"].slice(0, 1), "salts": table["salts"].slice(0, 1), "tree": pa.array([pickle.dumps((tree, margin))], pa.binary())})
+
+        trees = sample.select("cell", "parts", "salts", "v").groupBy("cell").applyInArrow(fit, "cell bigint, salts int, tree binary")
+        salted = big.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")).select("cell", "salt", "key", "ids", "v")
+        spread_trees = trees.select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "tree")
+
+        def cut(rows: pa.Table, tree: pa.Table) -> pa.Table:
+            if not rows.num_rows:
+                return _CELLS_ARROW.empty_table()
+            own, margin = pickle.loads(tree["tree"][0].as_py())
+            who, part = _routed(own, rows["v"], dim, margin, 1)
+            taken = rows.take(pa.array(who))
+            cell = rows["cell"][0].as_py() * max_cells + max_cells + part  # parts of different cells and rounds differ
+            return pa.table({"cell": pa.array(cell.astype(np.int64)), "key": taken["key"], "ids": taken["ids"], "v": taken["v"]})
+
+        cells = salted.groupBy("cell", "salt").cogroup(spread_trees.groupBy("cell", "salt")).applyInArrow(cut, _CELLS)
+    return done.unionByName(cells)
+
+
 def nearest_pairs(
     vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "embeddings", k: int = 5, min_cosine: float = 0.82, dim: int = 128,
-    cell_rows: int = 48_000, max_cells: int = 4096, sample_rows: int = 20_000, near: float = 0.03,
-    trees: int = 3, leaf_rows: int = 256, least: int = 6, most: int = 56, reach: float = 0.055,
+    cell_rows: int = 24_000, max_cells: int = 1024, sample_rows: int = 20_000, near: float = 0.02, least_cells: int = 2,
+    trees: int = 2, leaf_rows: int = 256, least: int = 4, most: int = 40, reach: float = 0.04,
 ) -> DataFrame:
-    """(id_a, id_b, cosine), id_a < id_b: one is among the k nearest of the other, at least ``min_cosine``."""
-    if k + 1 > FIRST:
-        raise ValueError(f"k may be at most {FIRST - 1}")
+    """(id_a, id_b, cosine), id_a < id_b: one is among the k nearest of the other, at least ``min_cosine``.
+
+    ``least``, ``most`` and ``reach`` tell how many leaves of a cell's forest a row looks into;
+    rows that would look into more than ``most`` are scored against their whole cell.
+    """
+    if k < 1 or max_cells < 2:
+        raise ValueError("k must be 1 at least, max_cells 2")
+    first = k + 1  # ids kept of a class of equal vectors: its neighbours and the id itself
     need(vectors, id_col, vector_col)
     spark = vectors.sparkSession
     ship(spark)
@@ -93,7 +166,8 @@ def nearest_pairs(
 
     # --- the tree over cells, from a bounded sample
     total = base.count()
-    n_cells = max(2, min(max_cells, round(total / cell_rows)))
+    wanted = max(2, round(total / cell_rows))
+    n_cells = min(max_cells, wanted)
     share = min(1.0, 1.2 * sample_rows / max(total, 1))
     buckets = 1 << 20
     chosen = base.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) < max(1, int(share * buckets)))
@@ -130,30 +204,20 @@ def nearest_pairs(
     members = spread(base).mapInArrow(keyed, "id bigint, key binary").distinct()
     smallest = Window.partitionBy("key").orderBy("id")
     classes = (
-        rows.withColumn("r", F.dense_rank().over(smallest)).filter(F.col("r") <= FIRST)
+        rows.withColumn("r", F.dense_rank().over(smallest)).filter(F.col("r") <= first)
         .groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.first("v").alias("v"))
     )
 
     # --- cells
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            if t is None or t.leaves == 1:
-                who, cell = np.arange(b.num_rows), np.zeros(b.num_rows, np.int32)
-            else:
-                who, cell = [], []
-                for a in range(0, b.num_rows, 2000):
-                    x = _unit32(_matrix(b.column(2).slice(a, 2000), dim))
-                    r, c = kernel.close_leaves(t, x, near)
-                    who.append(r + a)
-                    cell.append(c)
-                who, cell = np.concatenate(who), np.concatenate(cell)
-            taken = b.take(pa.array(who))
-            yield pa.record_batch([pa.array(cell.astype(np.int32)), *taken.columns], names=["cell", "key", "ids", "v"])
-
-    cells = classes.select("key", "ids", "v").mapInArrow(route, "cell int, key binary, ids array<bigint>, v binary")
+            if b.num_rows:
+                who, cell = _routed(shared.value, b.column(2), dim, near, least_cells)
+                yield pa.record_batch([pa.array(cell), *b.take(pa.array(who)).columns], names=["cell", "key", "ids", "v"])
+
+    cells = classes.select("key", "ids", "v").mapInArrow(route, _CELLS)
+    if wanted > max_cells:
+        cells = _cut_again(cells, dim, near, cell_rows, max_cells)
 
     def look(table: pa.Table) -> pa.Table:
         raw = _matrix(table["v"], dim)
@@ -172,7 +236,7 @@ def nearest_pairs(
         own = flat[starts]
         pairs_i = np.concatenate([own[:, None], np.where(good, own[found], np.iinfo(np.int64).max)], 1)
         pairs_c = np.concatenate([np.ones((n, 1)), np.where(good, score, -2.0)], 1)
-        order = np.lexsort((pairs_i, -pairs_c), axis=1)[:, :FIRST]
+        order = np.lexsort((pairs_i, -pairs_c), axis=1)[:, :first]
         pairs_i, pairs_c = np.take_along_axis(pairs_i, order, 1), np.take_along_axis(pairs_c, order, 1)
         there = pairs_c > -2.0
         lists_i: list = [r[m] for r, m in zip(pairs_i, there)]
@@ -181,7 +245,7 @@ def nearest_pairs(
             best = {(-1.0, int(i)) for i in flat[starts[r] : starts[r] + sizes[r]]}
             for c, j in zip(score[r][good[r]], found[r][good[r]]):
                 best.update((-float(c), int(i)) for i in flat[starts[j] : starts[j] + sizes[j]])
-            ranked = sorted(best)[:FIRST]
+            ranked = sorted(best)[:first]
             lists_i[r], lists_c[r] = np.array([i for _, i in ranked]), np.array([-c for c, _ in ranked])
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists_i])]).astype(np.int32)
         return pa.table(
@@ -196,7 +260,7 @@ def nearest_pairs(
     zipped = F.transform(F.arrays_zip("n", "c"), lambda s: F.struct((-s["c"]).alias("m"), s["n"].alias("n")))
     merged = (
         lists.select("key", zipped.alias("l")).groupBy("key")
-        .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("l")))), 1, FIRST).alias("l"))  # one list per cell of the class
+        .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("l")))), 1, first).alias("l"))  # one list per cell of the class
     )
     directed = (
         members.join(merged, "key")

@@ -140,11 +140,13 @@ def priorities(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def close_leaves(tree: Tree, x: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and leaves, one entry for a row's own leaf and for each whose priority is at least ``-near``."""
+def close_leaves(tree: Tree, x: np.ndarray, near: float, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and leaves: one entry for each of a row's ``least`` best leaves and for all whose priority is at least ``-near``."""
     p = priorities(tree, x)
     close = p >= -near
-    close[np.arange(len(x)), p.argmax(1)] = True
+    least = min(least, p.shape[1])
+    best = np.argpartition(-p, least - 1, axis=1)[:, :least]
+    close[np.arange(len(x))[:, None], best] = True
     return np.nonzero(close)
 
 

@@ -55,7 +55,33 @@ def test_empty(spark):
     df = spark.createDataFrame([], "chunk_id long, embeddings array<float>")
     assert neighbours.nearest_pairs(df, dim=16).count() == 0
     with pytest.raises(ValueError):
-        neighbours.nearest_pairs(df, dim=16, k=9)
+        neighbours.nearest_pairs(df, dim=16, k=0)
+
+
+@pytest.mark.parametrize("k", [1, 9, 50])
+def test_other_numbers_of_neighbours(spark, k):
+    x = clusters(400, 16, 60, 3)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[0].tolist()) for i in range(70)]
+    assert run(spark, rows, k=k) == brute(rows, k)
+
+
+@pytest.mark.parametrize("max_cells", [3, 8])
+def test_cells_are_cut_until_they_are_small(spark, max_cells, monkeypatch):
+    """Many more cells than one tree may have, with a crowd of a third of all rows, routed by several tasks a cell."""
+    monkeypatch.setattr(neighbours, "SALT_ROWS", 500)
+    x = np.concatenate([clusters(4000, 16, 40, 2), crowd(2000, 16, 8)])
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    want = brute(rows)
+    got = run(spark, rows, cell_rows=150, sample_rows=3000, max_cells=max_cells)
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_no_cell_stays_large(spark):
+    x = clusters(5000, 16, 40, 2)
+    rows = [(0, bytes([i % 256, i // 256]), [int(i)], v.tobytes()) for i, v in enumerate(x)]
+    cells = spark.createDataFrame(rows, neighbours._CELLS)
+    out = neighbours._cut_again(cells, 16, 0.0, 100, 4).groupBy("cell").count().collect()
+    assert max(r["count"] for r in out) <= 200 and sum(r["count"] for r in out) == 5000
 
 
 def test_recall_over_many_cells(spark):
