@@ -51,15 +51,21 @@ _GENERATED_NAME = re.compile(
 )
 #: Idioms no one writes by hand: parser tables, wrapper glue, widget set-up, serialised schemas, meta objects, proxies.
 _IDIOM = re.compile(
-    r"\byy(?:table|check|defact|pact|stos|r1|r2|translate|lookahead|parse|state|char|errlab|setstate|newstate|default|reduce)\b|\bYY_?[A-Z]+\b|\b_wrap_\w+|\bSWIG\w*|\bWrap_ConvertPtr\b|\bwrap_type_info\b|\w+INTERN\b"
-    r"|\.setObjectName\(|\bretranslateUi\b|\b_serialized_(?:start|end)\b|\bAddSerializedFile\b|\bqt_meta_\w+|\bstaticMetaObject\b|\w*PINVOKE\b|\bExceptionPending\b|\bHandleRef\b|__OVERLOAD_\d"
+    r"\byy(?:table|check|defact|pact|stos|r1|r2|translate|lookahead|parse|state|char|errlab|setstate|newstate|default|reduce)\b|\bYY_?[A-Z]+\b|\b_wrap_\w+|\bSWIG\w*|\bWrap_ConvertPtr\b|\bwrap_type_info\b|(?<=\w)INTERN\b"
+    r"|\.setObjectName\(|\bretranslateUi\b|\b_serialized_(?:start|end)\b|\bAddSerializedFile\b|\bqt_meta_\w+|\bstaticMetaObject\b|PINVOKE\b|\bExceptionPending\b|\bHandleRef\b|__OVERLOAD_\d"
     r"|^\s*#\s*define\s+[A-Z][A-Z0-9]*_HAS_\w+\s+[01]\s*$", re.M
 )
-_NUMERIC = re.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|\.\d+)[fFuUlL]{0,3}(?![\w.])")
+#: Every match of _IDIOM has one of these in it; texts without any are not searched.
+_IDIOM_PARTS = (
+    "yy", "YY", "_wrap_", "SWIG", "Wrap_ConvertPtr", "wrap_type_info", "INTERN", ".setObjectName(", "retranslateUi", "_serialized_", "AddSerializedFile", "qt_meta_", "staticMetaObject", "PINVOKE",
+    "ExceptionPending", "HandleRef", "__OVERLOAD_", "_HAS_",
+)
+#: A literal begins with a digit or point behind no word; the first character comes first, so that the search can skip to it.
+_NUMERIC = re.compile(r"[0-9.](?<![\w.].)(?:(?<=\.)[0-9]+|(?<=0)[xX][0-9a-fA-F]+|(?<=[0-9])[0-9]*(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?)[fFuUlL]{0,3}(?![\w.])", re.S)
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{48,}|(?:\\x[0-9a-fA-F]{2}){12,}|(?:0x[0-9a-fA-F]{1,8}, ?){12,}")
 _WORDY = re.compile(r"[A-Za-z]{3,}")
-_KEEP_ALNUM = re.compile(r"[^A-Za-z0-9]+")
-_DIGITS = re.compile(r"[0-9]+")
+_NO_ALNUM = bytes(c for c in range(128) if not chr(c).isalnum())
+_NO_DIGITS = bytes(c for c in range(128) if not chr(c).isdigit())
 
 
 def extension(path: str | None) -> str:
@@ -130,8 +136,9 @@ def features(text: str | None, line: int | None) -> tuple[int, ...]:
     lines = text.split("\n")
     lengths = [len(x) for x in lines]
     compact = "".join(text.split())
-    alnum = len(_KEEP_ALNUM.sub("", compact))
-    digits = len(compact) - len(_DIGITS.sub("", compact))
+    ascii_only = compact.encode("ascii", "ignore")
+    alnum = len(ascii_only.translate(None, _NO_ALNUM))
+    digits = len(ascii_only.translate(None, _NO_DIGITS))
     filled = sum(1 for x in lines if x and not x.isspace())
     encoded = run = 0
     if max(lengths) >= 48:
@@ -142,8 +149,9 @@ def features(text: str | None, line: int | None) -> tuple[int, ...]:
                 run = max(run, n)
     numeric = len(_NUMERIC.findall(text)) if digits else 0
     words = len(_WORDY.findall(text))
+    idioms = len(_IDIOM.findall(text)) if any(p in text for p in _IDIOM_PARTS) else 0
     gen, foreign = banners(text, line)
     return (
-        len(text), len(lines), filled, len(text) - len(compact), alnum, digits, numeric, words, encoded, len(_IDIOM.findall(text)), sum(1 for n in lengths if n > 500),
+        len(text), len(lines), filled, len(text) - len(compact), alnum, digits, numeric, words, encoded, idioms, sum(1 for n in lengths if n > 500),
         max(lengths), run, gen, foreign, *leading(text, line), -max(line or 1, 1),
     )

@@ -77,3 +77,10 @@ def test_layout_alone(spark):
 def test_literals_are_counted_in_prose_like_chunks():
     f = dict(zip(k.SUMS + k.MAXES, k.features("one two three four five six 7 eight nine", 1)))
     assert (f["n_numeric"], f["n_words"]) == (1, 8)
+
+
+def test_idioms_are_searched_wherever_one_can_be():
+    samples = "yytable yyparse YY_X YYLEX _wrap_a SWIGx Wrap_ConvertPtr wrap_type_info SIMINTERN .setObjectName( retranslateUi _serialized_start AddSerializedFile qt_meta_x staticMetaObject xPINVOKE ExceptionPending HandleRef __OVERLOAD_3".split()
+    for word in [*samples, "#define ACME_HAS_X 1"]:
+        text = f"a b {word} c" if not word.startswith("#") else word
+        assert k._IDIOM.search(text) and dict(zip(k.SUMS, k.features(text, 1)))["n_idiom"] == 1, word
