@@ -26,21 +26,40 @@ from ..runtime import checkpoint_dir, ship
 from .common import arrow_rows, need, spread
 
 NUMBER_VARIANTS = 6
-MAX_DIRECTORY = 50_000  # names of the directory of members, shipped to every task
+MAX_DIRECTORY = 50_000  # names of a directory that is shipped to every task; a larger one is joined
+MAX_WORDS = 50  # different numbers of words that names may have
 
 SCHEMA = pa.schema(
     [("chunk_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("pii_value", pa.string())]
 )
 
 
-def directory_of(members: DataFrame | None, name_col: str = "display_name") -> list[str]:
-    """Names of a directory; its size is bounded and checked, never assumed."""
+def directory_of(members: DataFrame | None, name_col: str = "display_name") -> list[str] | None:
+    """Names of a directory that fits into every task; None for a larger one, which is joined instead."""
     if members is None:
         return []
     rows = members.select(name_col).filter(F.col(name_col).isNotNull()).distinct().limit(MAX_DIRECTORY + 1).collect()
-    if len(rows) > MAX_DIRECTORY:
-        raise ValueError(f"the directory has more than {MAX_DIRECTORY} names")
-    return sorted(r[0] for r in rows)
+    return None if len(rows) > MAX_DIRECTORY else sorted(r[0] for r in rows)
+
+
+def _with_names(source: DataFrame, members: DataFrame, name_col: str = "display_name") -> DataFrame:
+    """Rows (id, path, text) with those forms of a directory of any size that their text may have.
+
+    Strings of a text that could be a name meet the forms in a semi-join on the whole string,
+    so a common first name brings no rows together.
+    """
+    forms = arrow_rows(
+        members.select(F.col(name_col)).filter(F.col(name_col).isNotNull()).distinct(), lambda batch: [(f,) for (d,) in batch for f in kernel.forms_of(d)], pa.schema([("form", pa.string())])
+    ).distinct()
+    words = {r[0] for r in forms.select(F.size(F.split("form", " "))).distinct().limit(MAX_WORDS + 1).collect()}
+    if len(words) > MAX_WORDS:
+        raise ValueError("names of a directory have too many different numbers of words")
+    keyed = source.toDF("chunk_id", "path", "text").withColumn("__k", F.xxhash64("chunk_id", "path", "text"))
+    pairs = arrow_rows(
+        keyed.select("__k", "text"), lambda batch: [(k, c) for k, t in batch for c in kernel.directory_candidates(t, words)], pa.schema([("__k", pa.int64()), ("form", pa.string())]), batch=100
+    )
+    names = pairs.join(forms, "form", "left_semi").groupBy("__k").agg(F.collect_set("form").alias("names"))
+    return keyed.join(names, "__k", "left").drop("__k")
 
 
 def find(chunks: DataFrame, members: DataFrame | None = None, id_col: str = "chunk_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -53,10 +72,10 @@ def find(chunks: DataFrame, members: DataFrame | None = None, id_col: str = "chu
         if not finder:
             finder.append(kernel.Finder(names))
         spans = finder[0].spans
-        return [(i, a, b, kind, t[a:b]) for i, p, t in batch for a, b, kind in spans(t, bool(p) and p.startswith("forum/"))]
+        return [(r[0], a, b, kind, r[2][a:b]) for r in batch for a, b, kind in spans(r[2], bool(r[1]) and r[1].startswith("forum/"), *r[3:])]
 
-    source = chunks.select(F.col(id_col).cast("bigint"), F.col(path_col), F.col(text_col)).filter(F.col(text_col).isNotNull())
-    return arrow_rows(spread(source), rows, SCHEMA)
+    source = spread(chunks.select(F.col(id_col).cast("bigint"), F.col(path_col), F.col(text_col)).filter(F.col(text_col).isNotNull()))
+    return arrow_rows(source if names is not None else _with_names(source, members), rows, SCHEMA)
 
 
 def found(chunks: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -70,13 +89,13 @@ def scrub(
 ) -> DataFrame:
     """All rows with ``out_col``: the text with every item replaced.
 
-    ``placeholder`` writes ``[EMAIL]``, ``[PHONE]`` and so on and needs no shuffle;
+    ``placeholder`` writes ``[EMAIL]``, ``[PHONE]`` and so on and needs no shuffle (unless the directory is joined);
     ``surrogate`` writes keyed replacements and shuffles items and the texts that have any.
     """
     need(chunks, id_col, path_col, text_col)
     ship(chunks.sparkSession)
-    if mode == "placeholder":
-        names = directory_of(members)
+    names = directory_of(members)
+    if mode == "placeholder" and names is not None:
         finder: list[kernel.Finder] = []
 
         @F.pandas_udf("string")
@@ -87,12 +106,22 @@ def scrub(
             return texts.combine(paths, lambda t, p: surrogates.placeholders(t, f.spans(t, bool(p) and p.startswith("forum/"))) if isinstance(t, str) else None)
 
         return chunks.withColumn(out_col, replace(F.col(path_col), F.col(text_col)))
-    if mode != "surrogate":
+    if mode not in ("placeholder", "surrogate"):
         raise ValueError("mode is placeholder or surrogate")
-    if not key:
+    if mode == "surrogate" and not key:
         raise ValueError("surrogates need a key")
 
     items = find(chunks, members, id_col, path_col, text_col)
+    if mode == "placeholder":
+        marked = items.groupBy("chunk_id").agg(F.collect_set(F.struct("start", "end", "pii_type")).alias("__items")).withColumnRenamed("chunk_id", "__id")
+
+        @F.pandas_udf("string")
+        def mark(texts: pd.Series, found: pd.Series) -> pd.Series:
+            rows = zip(texts, found)
+            return pd.Series([t if not isinstance(t, str) or f is None else surrogates.placeholders(t, sorted((s["start"], s["end"], s["pii_type"]) for s in f)) for t, f in rows], dtype=object)
+
+        joined = chunks.join(marked, F.col(id_col).cast("bigint") == F.col("__id"), "left")
+        return joined.withColumn(out_col, mark(F.col(text_col), F.col("__items"))).drop("__id", "__items")
     moved = settle(units_of(items), key).filter("variant > 0").select("kind", "value", "variant")
     # where units were moved, their variants go along with the chunk; usually there are few
     by_chunk = items.groupBy("chunk_id").agg(F.collect_set(F.struct("start", "end", "pii_type")).alias("__items"))

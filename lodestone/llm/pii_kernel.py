@@ -241,6 +241,37 @@ def _word_finder():
     return at_once
 
 
+def forms_of(name: str | None) -> set[str]:
+    """Spellings under which a full name of a directory is looked for; none for single words and mere initials."""
+    d = " ".join(w.title() if w.isupper() and len(w.strip(".,")) > 1 else w for w in (name or "").split())
+    if " " not in d or not any(len(w) > 1 for w in re.split(r"[ .,]+", d)):
+        return set()
+    if "," in d:
+        last, first = (x.strip() for x in d.split(",", 1))
+        both = {d, f"{first} {last}"}
+    else:
+        first, rest = d.split(" ", 1)
+        both = {d, f"{rest}, {first}"}
+    return both | {f.upper() for f in both}
+
+
+def directory_candidates(text: str, words: set[int]) -> set[str]:
+    """All strings of a text that a form of so many words could match, for directories too large to be at hand."""
+    if not text.isascii() or "\r" in text or "\t" in text:
+        text = text.translate(_ODD_BLANKS)
+    found = set()
+    for m in _CAPITALISED.finditer(text):
+        at = m.start()
+        for n in range(1, max(words, default=0) + 1):
+            stop = next((e for e in range(at, len(text)) if text[e] == " "), len(text))
+            if n in words:
+                found.update(text[m.start() : e] for e in range(at + 1, stop + 1) if e == len(text) or not (text[e].isalnum() or text[e] in "_@-"))
+            if stop == len(text):
+                break
+            at = stop + 1
+    return found
+
+
 class Finder:
     """Finds personal data; built once per Python worker.
 
@@ -252,19 +283,8 @@ class Finder:
         self.groups = _word_finder()
         self.known: dict[str, set[str]] = {}
         for d in directory or ():
-            d = " ".join(w.title() if w.isupper() and len(w.strip(".,")) > 1 else w for w in (d or "").split())
-            if " " not in d or not any(len(w) > 1 for w in re.split(r"[ .,]+", d)):  # initials alone name no one
-                continue
-            forms = {d}
-            if "," in d:
-                last, first = (x.strip() for x in d.split(",", 1))
-                forms.add(f"{first} {last}")
-            else:
-                parts = d.split(" ")
-                forms.add(f"{' '.join(parts[1:])}, {parts[0]}")
-            for f in forms:
-                for g in (f, f.upper()):
-                    self.known.setdefault(g.split(" ", 1)[0], set()).add(g)
+            for form in forms_of(d):
+                self.known.setdefault(form.split(" ", 1)[0], set()).add(form)
 
     # -------------------------------------------------------------- parts
 
@@ -402,8 +422,8 @@ class Finder:
 
     # -------------------------------------------------------------- all
 
-    def spans(self, text: str | None, post: bool = True) -> list[tuple[int, int, str]]:
-        """(start, end, kind) of every item, ordered, without overlaps."""
+    def spans(self, text: str | None, post: bool = True, names: list[str] | None = None) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of every item, ordered, without overlaps; ``names`` are forms of the directory that the text may have."""
         if not text or not text.strip():
             return []
         if not text.isascii() or "\r" in text or "\t" in text:
@@ -441,16 +461,22 @@ class Finder:
                         again.append((at, e))
                     at = text.find(name, e)
             take(again, "person")
-        if self.known:
-            take(self._listed(text), "person")
+        known = self.known
+        if names:
+            known = {}
+            for form in names:
+                known.setdefault(form.split(" ", 1)[0], set()).add(form)
+        if known:
+            take(self._listed(text, known), "person")
         found.sort()
         return found
 
-    def _listed(self, text: str) -> list[tuple[int, int]]:
+    @staticmethod
+    def _listed(text: str, known: dict[str, set[str]]) -> list[tuple[int, int]]:
         """Full names of the directory, wherever they stand."""
         out = []
         for m in _CAPITALISED.finditer(text):
-            for name in self.known.get(m[0], ()):
+            for name in known.get(m[0], ()):
                 if text.startswith(name, m.start()):
                     e = m.start() + len(name)
                     if e == len(text) or not (text[e].isalnum() or text[e] in "_@-"):

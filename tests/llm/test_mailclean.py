@@ -35,7 +35,7 @@ def test_wrapped_end():
 
 
 def test_what_stays():
-    body = ">>> import pychrono as chrono\n>>> chrono.ChBody(1)\n| step | node |\n| 1 | 2 |\nOn the second run the solver wrote:\n  residual 2 at step 3\nFrom: the manual I only learned little.\n    if a > 3:\n        a -= 1\ndemo --steps 3 -- --verbose > out.txt\nThanks for the answer."
+    body = ">>> import pyacme as acme\n>>> acme.AcBody(1)\n| step | node |\n| 1 | 2 |\nOn the second run the solver wrote:\n  residual 2 at step 3\nFrom: the manual I only learned little.\n    if a > 3:\n        a -= 1\ndemo --steps 3 -- --verbose > out.txt\nThanks for the answer."
     assert gone("Hello everyone,\n\n" + body) == [] and gone("Thanks Bob -\n" + body) == []
 
 

@@ -176,6 +176,18 @@ def test_moved_units_stay_in_step(spark):
     assert report["word"]["units"] == report["word"]["surrogates"] and report["word"]["met"] == 0
 
 
+def test_a_large_directory_is_joined(spark, monkeypatch):
+    texts = ["We met Ann Lee, and LEE, ANN too; Bo\xa0Li-Zorn (no), Bo Li's son, Ann Leeds no", "x Ann Lee", "Bo Li", None, "", "Ann  Lee", "A. B. Ann Lee. Bo Li"]
+    df = spark.createDataFrame([(i, "a.py", t) for i, t in enumerate(texts)] + [(1, "a.py", texts[1])], "chunk_id long, path string, text string")
+    members = spark.createDataFrame([("Ann Lee",), ("LI, Bo",), ("J. R.",), ("Solo",), (None,)], "display_name string")
+    key = lambda rows: sorted(map(tuple, rows))
+    want, clean = key(pii.find(df, members).collect()), key((r["chunk_id"], r["clean_text"] or "") for r in pii.scrub(df, members).collect())
+    assert {"Ann Lee", "LEE, ANN", "Bo Li"} <= {r[4] for r in want}
+    monkeypatch.setattr(pii, "MAX_DIRECTORY", 1)
+    assert key(pii.find(df, members).collect()) == want
+    assert key((r["chunk_id"], r["clean_text"] or "") for r in pii.scrub(df, members).collect()) == clean
+
+
 PIECES = [w for words in k._GROUPS for w in words] + ["Ann Lee", "12", "Oak", "3-45-6789", "+49 30", "(030)", "1234567", ", ", ". ", "\n", " ", "@x.test", "passport no. ", "SSN "]
 
 
