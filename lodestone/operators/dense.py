@@ -27,6 +27,14 @@ BUCKETS = 64
 DIGITS = 12  # scores keep so many decimals: the order of summation moves only later ones
 
 
+def pinned(queries: DataFrame) -> DataFrame:
+    """A batch of queries of checked size as local rows, so that no plan that uses it makes it again."""
+    rows = queries.limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries; search in blocks")
+    return queries.sparkSession.createDataFrame(rows, queries.schema)
+
+
 def dense_topk(
     vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding"
 ) -> DataFrame:
@@ -149,4 +157,5 @@ def embed_queries(queries: DataFrame, text_col: str = "query", out_col: str = "e
     """Queries with an embedding, each written into the model's query format first."""
     before, after = query_format.split("{query}")
     wrapped = queries.withColumn("__q", F.concat(F.lit(before), F.col(text_col), F.lit(after)))
-    return embed(wrapped, "__q", out_col, embedder).drop("__q")
+    ship(queries.sparkSession)
+    return wrapped.withColumn(out_col, (embedder or hash_embedding)(F.col("__q"))).drop("__q")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,17 +87,28 @@ class Search:
     ``chunks`` needs the columns of an index; ``queries`` needs ``query_id``, ``query`` and
     ``embedding``.  With ``index`` (an opened ``search_index``) the lexical and dense lists come
     from its postings and vectors; without it, from the texts and the column ``embedding`` of
-    ``chunks``.  Everything is lazy.
+    ``chunks``.  The batch of queries, whose size is checked, is read once; all else is lazy.
     """
 
     def __init__(
         self, chunks: DataFrame, queries: DataFrame, candidates: int = V.CANDIDATES, floor: float = V.DENSE_FLOOR, label: str | None = None, index=None,
         profile: V.Profile = V.GENERAL,
     ):
+        queries = dense_op.pinned(queries)
         self.chunks, self.queries, self.floor, self.label, self.profile = chunks, queries, floor, label, profile
-        self.dense = dense_op.dense_topk(index.vectors() if index else chunks, queries, candidates)
-        self.bm25 = index.bm25(queries, candidates) if index else lexical.bm25(chunks, queries, candidates)
-        self.symbol = symbols.lookup(chunks, queries)
+        self.index, self.candidates = index, candidates
+
+    @cached_property
+    def dense(self) -> DataFrame:
+        return dense_op.dense_topk(self.index.vectors() if self.index else self.chunks, self.queries, self.candidates)
+
+    @cached_property
+    def bm25(self) -> DataFrame:
+        return self.index.bm25(self.queries, self.candidates) if self.index else lexical.bm25(self.chunks, self.queries, self.candidates)
+
+    @cached_property
+    def symbol(self) -> DataFrame:
+        return symbols.lookup(self.chunks, self.queries)
 
     def fused(self) -> DataFrame:
         return fuse(self.dense, self.bm25, self.symbol)

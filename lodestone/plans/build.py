@@ -47,7 +47,7 @@ def stored_index(spark: SparkSession, sf_dir: str) -> search_index.SearchIndex:
 
 
 def embedded_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.embed(gold_queries(spark, sf_dir), "query")
+    return dense.embed_queries(dense.pinned(gold_queries(spark, sf_dir)), "query")
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def token_df_idf(spark, sf_dir):
 
 @query
 def bm25_topk(spark, sf_dir):
-    found = stored_index(spark, sf_dir).bm25(gold_queries(spark, sf_dir))
+    found = stored_index(spark, sf_dir).bm25(dense.pinned(gold_queries(spark, sf_dir)))
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
