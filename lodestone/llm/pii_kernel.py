@@ -28,19 +28,20 @@ _HIDDEN_I = re.compile(_HIDDEN.pattern, re.I)
 # ------------------------------------------------------------------ phone
 
 _EXT = r"(?:[ ,;]{0,2}\b(?:ext\.?|extension|x|Durchwahl|DW|poste|int\.?)[ .:]{0,2}\d{1,6})?"
+#: The first character comes first, so that the search can skip to it; what may not stand before it is looked up afterwards.
 _PHONE = re.compile(
-    r"(?<![\w.+/-])(?<!\d )(?:"
-    r"\+\d{1,3}(?:[ ./-]?\(0?\d{1,5}\))?(?:[ ./-]?\d{2,12}){1,6}"  # international
-    r"|00\d{1,3}(?: \d{2,12}){2,6}"
-    r"|\(\d{2,5}\)[ ./-]?\d{3,4}[ .-]?\d{3,6}"  # (area) number
-    r"|[2-9]\d{2}([.-])\d{3}\1\d{4}"  # area-exchange-line
-    r"|0\d{2,5}[ /]\d{3,8}(?:[ -]\d{2,6})?"  # national with trunk zero
-    r")" + _EXT + r"(?![\w]|[.-]\d)", re.I
+    r"[+(02-9](?<![\w.+/-].)(?<!\d .)(?:"
+    r"(?<=\+)\d{1,3}(?:[ ./-]?\(0?\d{1,5}\))?(?:[ ./-]?\d{2,12}){1,6}"  # international
+    r"|(?<=0)0\d{1,3}(?: \d{2,12}){2,6}"
+    r"|(?<=\()\d{2,5}\)[ ./-]?\d{3,4}[ .-]?\d{3,6}"  # (area) number
+    r"|(?<=[2-9])\d{2}([.-])\d{3}\1\d{4}"  # area-exchange-line
+    r"|(?<=0)\d{2,5}[ /]\d{3,8}(?:[ -]\d{2,6})?"  # national with trunk zero
+    r")" + _EXT + r"(?![\w]|[.-]\d)", re.I | re.S
 )
 
 # ------------------------------------------------------------------ numbers of documents
 
-_SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
+_SSN = re.compile(r"\d(?<![\w-].)\d\d-\d{2}-\d{4}(?![\w-])", re.S)
 _NOT_SSN = re.compile(r"\b(?:step|steps|run|frame|element|node|part|build|version|commit|port|line|case|batch|sample|no|nr|key|id of|seed|page)\s*[.:#]?\s*$", re.I)
 _LABELLED = re.compile(
     r"\b(?i:passport|reisepass(?:nummer)?|ausweis(?:nummer)?|pasaporte|social security|ssn|sin|nino|"
@@ -52,6 +53,12 @@ _LABELLED = re.compile(
     r"(?i:\s*(?:no\.?|nr\.?|number|num\.?|nummer|id|n°|numéro|número|card|code|#)(?![a-z]))*\s*(?:is|ist|est|es)?\s*[:=#]?\s*"
     r"([A-Z]{1,3}\d{5,10}|\d{1,4}(?:[ -]\d{2,5}){1,5}|\d{5,14}|[A-Z]\d[A-Z]\d{2}[A-Z]\d{3,6}[A-Z]?|[A-Z]{1,3}-\d{2,4}-\d{2,4}(?:-[A-Z0-9]{1,3})?|\d{5,9}[A-Z])(?![\w])"
 )
+#: Beginnings of all labels, lower case.
+_LABEL_STEMS = (
+    "passport", "reisepass", "ausweis", "pasaporte", "social security", "ssn", "sin", "nino", "tax", "tin", "steuer", "numéro fiscal", "nif", "driv", "führerschein", "permis de conduire",
+    "student", "matric", "matrik", "enrol", "numéro d'étudiant", "national", "identity card", "id card", "personalausweis", "dni", "nie", "carte d'identité", "health insurance", "versicherungs",
+    "sécurité sociale",
+)
 #: What every number of _LABELLED with its five digits has (labels come in any case, so none is asked for).
 _FIVE_DIGITS = re.compile(r"\d(?:[ -]?\d){4}|\d[A-Z]\d{2}[A-Z]\d{3}")
 _LICENCE = re.compile(r"(?<![\w-])DL-\d{3}-\d{3}-[A-Z](?![\w-])")
@@ -214,8 +221,24 @@ except ImportError:  # the words are then looked for one by one
 def _word_finder():
     """Function from a text to a bit set of the groups of which a word occurs."""
 
+    if ahocorasick is not None:
+        stems = ahocorasick.Automaton()
+        for w in _LABEL_STEMS:
+            stems.add_word(w, len(w))
+        stems.make_automaton()
+
     def numbered(text: str) -> int:
-        return 1 << _LABEL if _FIVE_DIGITS.search(text) else 0
+        """Whether a label and a number of enough digits may stand in the text."""
+        if not _FIVE_DIGITS.search(text):
+            return 0
+        low = text.lower() if text.isascii() else text.casefold().replace("ı", "i")  # whatever a pattern without case takes for a letter
+        if ahocorasick is None:
+            return 1 << _LABEL if any(w in low for w in _LABEL_STEMS) else 0
+        for end, n in stems.iter(low):
+            before = low[end - n] if end >= n else " "
+            if not (before.isalnum() or before == "_"):
+                return 1 << _LABEL
+        return 0
 
     if ahocorasick is None:
 
@@ -484,4 +507,4 @@ class Finder:
         return out
 
 
-_CAPITALISED = re.compile(rf"(?<![\w@.])(?:[OD]['’])?[{_UP}]{_L}+(?:-{_L}+)*,?(?= )")
+_CAPITALISED = re.compile(rf"[{_UP}](?<![\w@.].)(?:(?<=[OD])['’][{_UP}])?{_L}+(?:-{_L}+)*,?(?= )", re.S)
