@@ -8,21 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..runtime import ship
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Ready a table for Python kernels: rows over at least as many partitions as there are cores.
-
-    A table delivered as one small file is read by one task; Python kernels behind such a
-    scan would leave all other cores idle.  Larger tables have enough splits of their own
-    and are not shuffled.
-    """
+    """Ready a table for Python kernels: the package at hand, rows over the cores."""
     ship(df.sparkSession)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= cores:
-        return df.repartition(cores)
-    return df
+    return runtime.spread(df)
 
 
 def arrow_rows(df: DataFrame, function: Callable[[list[tuple]], list[tuple]], schema: pa.Schema, batch: int = 1000) -> DataFrame:
