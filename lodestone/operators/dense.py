@@ -8,8 +8,10 @@ shuffled.  Larger query sets are searched in blocks.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -73,14 +75,17 @@ def dense_topk(
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def dense_topk_blocks(vectors: DataFrame, queries: DataFrame, k: int, blocks: int, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
-    """``dense_topk`` for any number of queries, as a union over blocks of them."""
+def dense_topk_blocks(
+    vectors: DataFrame, queries: DataFrame, k: int, blocks: int | None = None, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding"
+) -> DataFrame:
+    """``dense_topk`` for any number of queries: a scan of the vectors for every block of them.
+
+    Without ``blocks`` there are so many that a block is half full on average.
+    """
+    if blocks is None:
+        blocks = max(1, math.ceil(queries.count() / (MAX_QUERIES // 2)))
     part = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    result = None
-    for b in range(blocks):
-        one = dense_topk(vectors, queries.filter(part == b), k, id_col, vector_col, query_id, query_vector)
-        result = one if result is None else result.unionByName(one)
-    return result
+    return reduce(DataFrame.unionByName, (dense_topk(vectors, queries.filter(part == b), k, id_col, vector_col, query_id, query_vector) for b in range(blocks)))
 
 
 # ------------------------------------------------------------------ hashing embedder

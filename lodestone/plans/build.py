@@ -375,6 +375,14 @@ def manifest_health(spark, sf_dir):
     return rendering.health(t(spark, sf_dir, "manifest"))
 
 
+@query
+def manifest_json(spark, sf_dir):
+    """Every manifest as the JSON object that a service answers with, and one of its fields read back."""
+    fields = ("model", "dim", "channel", "version_label", "commit_sha")
+    m = t(spark, sf_dir, "manifest").select("index_ord", F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields))).alias("body"))
+    return m.select("index_ord", "body", F.get_json_object("body", "$.model").alias("model"))
+
+
 @query
 def channel_slug(spark, sf_dir):
     m = t(spark, sf_dir, "manifest").select("index_ord", F.coalesce("engine_ref", F.lit("feature/x y")).alias("ref"), F.coalesce("engine_version", F.lit("0.0")).alias("version"), "built_at")

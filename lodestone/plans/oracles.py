@@ -281,6 +281,8 @@ SELECT index_ord, coalesce(r.n, 0) AS rows, coalesce(v.n, 0) AS vectors, coalesc
         CASE WHEN v.dims > 1 THEN 'dimensions differ' END, CASE WHEN v.low <> m.dim OR v.high <> m.dim THEN 'dimension differs from manifest' END) AS errors
 FROM manifest m FULL JOIN r USING (index_ord) LEFT JOIN v USING (index_ord)"""
     o["manifest_health"] = f"SELECT index_ord, {', '.join(V.MANIFEST_FIELDS)} FROM manifest"
+    body = "{" + ", ".join(f"'{c}': coalesce({c}::VARCHAR, '')" for c in ("model", "dim", "channel", "version_label", "commit_sha")) + "}"
+    o["manifest_json"] = f"SELECT index_ord, to_json({body})::VARCHAR AS body, coalesce(model, '') AS model FROM manifest"
     o["channel_slug"] = f"""
 WITH m AS (SELECT index_ord, coalesce(engine_ref, 'feature/x y') AS ref, coalesce(engine_version, '0.0') AS version, built_at FROM manifest),
 x AS (SELECT *, regexp_matches(ref, '^v?\\d+\\.\\d+(\\.\\d+)?$') AS rel, array_to_string(string_split(version, '.')[1:2], '.') AS short, upper({PRODUCT}[1]) || {PRODUCT}[2:] AS product FROM m)

@@ -44,7 +44,7 @@ def test_dense(spark, data):
     assert dense.dense_topk(chunks, queries.limit(0), 2).count() == 0
     assert dense.dense_topk(chunks.limit(0), queries, 2).count() == 0
     blocks = dense.dense_topk_blocks(chunks, queries, 2, 3).orderBy("query_id", "rank").collect()
-    assert blocks == rows
+    assert blocks == rows and dense.dense_topk_blocks(chunks, queries, 2).orderBy("query_id", "rank").collect() == rows
     with pytest.raises(ValueError):
         dense.dense_topk(chunks, queries.union(spark.createDataFrame([(9, "q", [1.0])], queries.schema)), 2)
 
