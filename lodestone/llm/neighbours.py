@@ -148,8 +148,8 @@ def _cut_again(cells: DataFrame, dim: int, near: float, cell_rows: int, max_cell
 
 def nearest_pairs(
     vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "embeddings", k: int = 5, min_cosine: float = 0.82, dim: int = 128,
-    cell_rows: int = 24_000, max_cells: int = 1024, sample_rows: int = 20_000, near: float = 0.02, least_cells: int = 2,
-    trees: int = 2, leaf_rows: int = 256, least: int = 4, most: int = 40, reach: float = 0.04,
+    cell_rows: int = 24_000, max_cells: int = 1024, sample_rows: int = 20_000, near: float = 0.03, least_cells: int = 2,
+    trees: int = 2, leaf_rows: int = 256, least: int = 4, most: int = 56, reach: float = 0.055,
 ) -> DataFrame:
     """(id_a, id_b, cosine), id_a < id_b: one is among the k nearest of the other, at least ``min_cosine``.
 
