@@ -20,6 +20,7 @@ class Tree:
     offsets: np.ndarray  # (inner nodes,) float32
     children: np.ndarray  # (inner nodes, 2) int32; a leaf is stored as -1 - leaf number
     leaves: int
+    crowds: int = 0  # so many first leaves are crowds
 
     @property
     def nbytes(self) -> int:
@@ -69,12 +70,51 @@ def _split(x: np.ndarray, rng: np.random.Generator, sample: int = 256, tries: in
     return best and best[1:]
 
 
-def build_tree(x: np.ndarray, leaf_size: int, rng: np.random.Generator, max_leaves: int = 1 << 30, tries: int = 1) -> tuple[Tree, list[np.ndarray]]:
-    """Tree over the rows of x, and the rows of each leaf."""
+def find_crowds(x: np.ndarray, size: int, cosine: float, near: float, rng: np.random.Generator, tries: int = 200) -> list[tuple[np.ndarray, float]]:
+    """Hyperplanes that part crowds of more than ``size`` rows from all other rows.
+
+    A crowd is what lies within ``cosine`` of one row, is set apart from the rest, and cannot
+    be divided itself: every hyperplane through it lies nearer than ``near`` to most of its rows.
+    """
+    found: list[tuple[np.ndarray, float]] = []
+    rest = x
+    for _ in range(8):
+        if len(rest) <= size:
+            break
+        counts = (rest[rng.choice(len(rest), min(tries, len(rest)), replace=False)] @ rest.T >= cosine)
+        most = counts.sum(1)
+        if most.max() <= size:
+            break
+        centre = rest[counts[most.argmax()]].mean(0)
+        centre /= np.linalg.norm(centre)
+        m = rest @ centre
+        steps = np.linspace(cosine - 0.1, float(np.median(m[counts[most.argmax()]])), 40)
+        offset = float(steps[np.argmin([(np.abs(m - t) < near).sum() for t in steps])])
+        crowd = rest[m > offset]
+        cut = _split(crowd, rng, 1024, 16) if len(crowd) > size else None
+        if cut is None or (np.abs(crowd @ cut[0] - cut[1]) < near).mean() <= 0.5 or (np.abs(m - offset) < near).sum() > 0.1 * len(crowd):
+            break
+        found.append((centre.astype(np.float32), offset))
+        rest = rest[m <= offset]
+    return found
+
+
+def build_tree(
+    x: np.ndarray, leaf_size: int, rng: np.random.Generator, max_leaves: int = 1 << 30, tries: int = 1, crowds: list[tuple[np.ndarray, float]] | None = None
+) -> tuple[Tree, list[np.ndarray]]:
+    """Tree over the rows of x, and the rows of each leaf; its first leaves are the crowds, which stay whole."""
     normals, offsets, children = [], [], []
     parts: list[np.ndarray] = []
     budget = max_leaves
-    stack = [(np.arange(len(x)), -1, 0)]
+    rest = np.arange(len(x))
+    for normal, offset in crowds or []:
+        inside = x[rest] @ normal > offset
+        parts.append(rest[inside])
+        rest = rest[~inside]
+        normals.append(normal)
+        offsets.append(offset)
+        children.append([len(normals), -len(parts)])
+    stack = [(rest, len(normals) - 1, 0)]
     open_parts = 1
     while stack:
         rows, parent, side = stack.pop()
@@ -99,7 +139,7 @@ def build_tree(x: np.ndarray, leaf_size: int, rng: np.random.Generator, max_leav
         if parent >= 0:
             children[parent][side] = me
     dim = x.shape[1]
-    return Tree(np.array(normals, np.float32).reshape(-1, dim), np.array(offsets, np.float32), np.array(children, np.int32).reshape(-1, 2), len(parts)), parts
+    return Tree(np.array(normals, np.float32).reshape(-1, dim), np.array(offsets, np.float32), np.array(children, np.int32).reshape(-1, 2), len(parts), len(crowds or [])), parts
 
 
 def route(tree: Tree, x: np.ndarray) -> np.ndarray:
@@ -140,8 +180,8 @@ def priorities(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def close_leaves(tree: Tree, x: np.ndarray, near: float, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and leaves: one entry for each of a row's ``least`` best leaves and for all whose priority is at least ``-near``."""
+def close_leaves(tree: Tree, x: np.ndarray, near: float | np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and leaves: one entry for each of a row's ``least`` best leaves and for all whose priority is at least ``-near`` (a number, or a column of them)."""
     p = priorities(tree, x)
     close = p >= -near
     least = min(least, p.shape[1])
@@ -150,23 +190,30 @@ def close_leaves(tree: Tree, x: np.ndarray, near: float, least: int = 1) -> tupl
     return np.nonzero(close)
 
 
-def _scan(x: np.ndarray, asking: np.ndarray, best_i: np.ndarray, best_s: np.ndarray, rows: int = 512, width: int = 8192) -> None:
-    """Score the asking rows against all rows of x, in blocks; best_i and best_s get their exact best.
+def _scan(
+    x: np.ndarray, asking: np.ndarray, best_i: np.ndarray, best_s: np.ndarray, rows: int = 512, width: int = 8192, start: int = 0, stop: int | None = None
+) -> None:
+    """Score the asking rows against the rows start to stop of x, in blocks; best_i and best_s get their exact best among those.
 
     What the lists already hold is a bound: only rows that reach it are ranked.
     """
     keep = best_i.shape[1]
+    stop = len(x) if stop is None else stop
     for a in range(0, len(asking), rows):
         q = asking[a : a + rows]
         bound = best_s[q].min(1) - 1e-5  # products of other blocks may round differently
         top_i, top_s = np.full((len(q), keep), -1, np.int32), np.full((len(q), keep), -2.0, np.float32)
-        for b in range(0, len(x), width):
-            s = x[q] @ x[b : b + width].T
-            own = np.nonzero((q >= b) & (q < b + width))[0]
+        for b in range(start, stop, width):
+            end = min(b + width, stop)
+            s = x[q] @ x[b:end].T
+            own = np.nonzero((q >= b) & (q < end))[0]
             s[own, q[own] - b] = -2.0
-            r, c = np.nonzero(s > bound[:, None])
-            if not len(r):
+            if (bound < -1).any() and s.shape[1] > keep:  # nothing known yet
+                bound = np.maximum(bound, -np.partition(-s, keep - 1, axis=1)[:, keep - 1] - 1e-5)
+            flat = np.flatnonzero(s > bound[:, None])
+            if not len(flat):
                 continue
+            r, c = np.divmod(flat, s.shape[1])
             all_r = np.concatenate([np.repeat(np.arange(len(q)), keep), r])
             all_i = np.concatenate([top_i.ravel(), (c + b).astype(np.int32)])
             all_s = np.concatenate([top_s.ravel(), s[r, c]])
@@ -179,6 +226,30 @@ def _scan(x: np.ndarray, asking: np.ndarray, best_i: np.ndarray, best_s: np.ndar
         best_i[q], best_s[q] = top_i, top_s
 
 
+def scan(x: np.ndarray, keep: int, border: int = 0) -> np.ndarray:
+    """Exact `keep` best other rows of every row of x (-1: none); with a border, of the rows before it among those after it and the reverse."""
+    n = len(x)
+    best_i, best_s = np.full((n, keep), -1, np.int32), np.full((n, keep), -2.0, np.float32)
+    if border:
+        _scan(x, np.arange(border), best_i, best_s, start=border)
+        _scan(x, np.arange(border, n), best_i, best_s, stop=border)
+    else:
+        _scan(x, np.arange(n), best_i, best_s)
+    best_i[best_s <= -2.0] = -1
+    return best_i
+
+
+def smoothed(x: np.ndarray, found: np.ndarray, good: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """Unit rows, each averaged with the rows found for it, again and again: noise goes, the place stays."""
+    for _ in range(rounds):
+        out = x.copy()
+        for c in range(found.shape[1]):
+            r = np.nonzero(good[:, c])[0]
+            out[r] += x[found[r, c]]
+        x = out / np.linalg.norm(out, axis=1, keepdims=True)
+    return x
+
+
 def search(
     x: np.ndarray, keep: int, trees: int = 4, leaf_size: int = 256, least: int = 6, most: int = 48, reach: float = 0.04, seed: int = 7
 ) -> tuple[np.ndarray, np.ndarray]:

@@ -133,3 +133,47 @@ def test_recall_of_a_crowd_over_many_cells(spark):
     want = {p for p in brute(rows) if p[1] < 3000}
     got = run(spark, rows, cell_rows=150, sample_rows=6000)
     assert len(got & want) >= 0.95 * len(want)
+
+
+def test_blocks_of_a_crowd_meet(spark, monkeypatch):
+    """A crowd of several cells' size stays whole: its blocks meet in pairs, and nothing is lost."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 700)
+    x = np.concatenate([crowd(3000, 16, 8), clusters(3000, 16, 40, 9)])
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    want = {p for p in brute(rows) if p[1] < 3000}
+    got = run(spark, rows, cell_rows=300, sample_rows=6000)
+    assert {p for p in got if p[1] < 3000} == want
+
+
+def test_crowds_are_found_and_parted():
+    x = np.concatenate([crowd(2000, 64, 5), clusters(6000, 64, 20, 6)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = k.find_crowds(x, 500, 0.82, 0.03, np.random.default_rng(0))
+    tree, parts = k.build_tree(x, 500, np.random.default_rng(1), tries=16, crowds=found)
+    assert tree.crowds == 1 and sorted(parts[0]) == list(range(2000)) and (k.route(tree, x[:2000]) == 0).all()
+    assert not k.find_crowds(x[2000:], 500, 0.82, 0.03, np.random.default_rng(0))
+
+
+def test_means_enter_few_cells_and_keep_neighbours():
+    """A margin that grows copies with every level of a tree is needed for rows, not for means of neighbours."""
+    x = clusters(8000, 128, 16, 3, noise=0.02)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    full = x @ x.T
+    np.fill_diagonal(full, -9)
+    near = np.argsort(-full, 1)[:, :5]
+    tree, _ = k.build_tree(x, 60, np.random.default_rng(1), tries=16)
+    home = k.route(tree, x)
+    same = np.where(home[:, None] == home[None, :], full, -9)
+    found = np.argsort(-same, 1)[:, :9]
+    good = np.take_along_axis(same, found, 1) >= 0.82
+    mean = k.smoothed(x, found, good)
+    second, _ = k.build_tree(x, 60, np.random.default_rng(2), tries=16)
+
+    def entered(rows, margin):
+        into = np.zeros((len(x), second.leaves), bool)
+        into[k.close_leaves(second, rows, margin)] = True
+        return into.sum(1).mean(), (into[:, None] & into[near]).any(2).mean()
+
+    copies, kept = entered(x, 0.03)
+    fewer, kept_too = entered(mean, 0.03 * np.maximum(neighbours.LEAST_MARGIN, 1 / np.sqrt(1 + good.sum(1)))[:, None])
+    assert fewer - 1 < 0.3 * (copies - 1) and kept_too > 0.995 and kept_too >= kept - 0.005
